@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, media, mixing, packing, quality, toxicity
+from corpusloom.llm import chat, media, mixing, packing, quality, simhash, toxicity
 from corpusloom.plans.runtime import read, ship
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-_ALL = (op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
+_ALL = (op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

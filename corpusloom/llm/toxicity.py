@@ -1,6 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document is the set of its hashed features; every whole text is read. The
+Single words count with their beginnings too, so that inflected forms that no
+label has shown share weight with those it has. A document is the set of its hashed features; every whole text is read. The
 per-coordinate rates and the L1 penalty leave few non-zero weights, which are
 all that scoring broadcasts.
 """
@@ -25,6 +26,9 @@ SAMPLE_ROWS = 12_000
 #: Rows that the learner holds at a time.
 FIT_BATCH = 500
 
+#: Bytes of the beginnings of words that are features of their own.
+STEM_BYTES = (4, 5, 6, 7)
+
 _MARKS = np.zeros(256, bool)
 _MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -43,11 +47,15 @@ def _bare(words: Words) -> Words:
 
 
 def document_features(data: np.ndarray, offsets: np.ndarray, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, coordinate) of every word, pair of neighbours, and pair that skips one word; with repeats."""
+    """(document, coordinate) of every word, its beginnings, pair of neighbours, and pair that skips one word; with repeats."""
     words = _bare(words_of(data, offsets, lower=True))
     doc, name = words.doc, words.hashes()
     down = np.uint64(64 - bits)
     docs, coordinates = [doc], [name >> down]
+    for k in STEM_BYTES:
+        long = np.flatnonzero(words.end - words.start > k)
+        docs.append(doc[long])
+        coordinates.append(Words(words.data, words.start[long], words.start[long] + k, words.first).hashes(seed=k) >> down)
     for kind, gap in ((1, 1), (2, 2)):
         if len(name) > gap:
             same = doc[gap:] == doc[:-gap]
