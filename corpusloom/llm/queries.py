@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, media, mixing, packing, quality, simhash, toxicity
+from corpusloom.llm import ann, chat, media, mixing, packing, quality, simhash, substrings, toxicity
 from corpusloom.plans.runtime import read, ship
 
 
@@ -17,6 +17,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.clean_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.nearest(vectors.where("id % 20 = 0"), vectors, k=20)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -65,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-_ALL = (op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
+_ALL = (op1_nearest_neighbours, op2_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,8 +83,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": _OP8}
-
+    return {"op2_substring_dedup": _OP2, "op8_chat_formatting": _OP8}
+
+
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+), k AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i+49], ' ')) AS h FROM p
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS d0 FROM k
+), r AS (
+  SELECT DISTINCT doc_id, i FROM m WHERE d0 < doc_id
+), t AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d
+), c AS (
+  SELECT t.doc_id, j, word, coalesce(max(i) OVER (PARTITION BY t.doc_id ORDER BY j), -100) >= j - 49 AS gone
+  FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.j
+), o AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
 
 _OP8 = r"""
 WITH rows AS (
