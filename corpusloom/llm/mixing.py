@@ -48,7 +48,31 @@ def _targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: floa
     return sources.select("source", "source_size", F.least(F.col("most"), F.col("weight") * rate).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, copies_column: str = "copies") -> DataFrame:
+def mix_hash(docs: DataFrame) -> Column:
+    """63 bits that decide about a row; equal for rows equal in doc_id, source and text."""
+    return F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["source"], docs["text"]), 1)
+
+
+def plan_mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(source, source_size, target, whole, threshold) from (source, mix_hash, size): every document ``whole`` times, once more up to the threshold."""
+    targets = _targets(sizes, weights, share, cap)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = targets.withColumn("whole", F.floor(ratio).cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = materialize(plan, "mix-plan")
+    thresholds = _thresholds(sizes, plan.where("rest > 0").select("source", "rest"))
+    found = plan.select(F.col("source").alias("__s"), "source_size", "target", "whole").join(thresholds.select("source", "threshold"), F.col("source").eqNullSafe(F.col("__s")), "left")
+    return materialize(found.select(F.col("__s").alias("source"), "source_size", "target", "whole", "threshold"), "mix-thresholds")
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", mix_hash(docs).alias("mix_hash"), word_count(docs["text"]).alias("size")), "mix-sizes")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("mix_hash") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Decide how often each document is taken.
 
     Sources in code-point order (null last) weigh ``weights``, repeating, and
@@ -57,24 +81,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     and, once more, those under its threshold, chosen so that the source's sum
     comes as near to its target as one document allows.
 
-    Input: doc_id, source, text; any other columns are ignored, so their names
-    cannot clash. Output: doc_id, source, mix_hash long, size long,
-    source_size long, target double, and the number of times taken. Null
-    text has size 0; null doc_id hashes like any value; an empty table
-    gives an empty result. Rows equal in doc_id, source and text share a hash and
+    Input: doc_id, source, text; other columns are ignored, so their names
+    cannot clash. Output: doc_id, source, size long, source_size long, target
+    double, copies int. Null text has size 0; null doc_id hashes like any
+    value; an empty table gives an empty result. Rows equal in doc_id, source and text share a hash and
     are taken or left together.
     """
-    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")), 1)
-    sizes = materialize(docs.select("doc_id", "source", key.alias("mix_hash"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    targets = _targets(sizes, weights, share, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.withColumn("whole", F.floor(ratio).cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = materialize(plan, "mix-plan")
-    thresholds = _thresholds(sizes, plan.where("rest > 0").select("source", "rest"))
-    plan = plan.select(F.col("source").alias("__s"), "source_size", "target", "whole").join(thresholds.select(F.col("source").alias("__t"), "threshold"), F.col("__s").eqNullSafe(F.col("__t")), "left").drop("__t")
-    rows = sizes.join(broadcast_if_small(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    taken = F.col("whole") + F.when(F.col("mix_hash") <= F.col("threshold"), 1).otherwise(0)
-    return rows.select("doc_id", "source", "mix_hash", "size", "source_size", "target", taken.cast("int").alias(copies_column))
+    sizes = _sizes(docs)
+    plan = plan_mix(sizes, weights, share, cap).withColumnRenamed("source", "__s")
+    rows = sizes.join(broadcast_if_small(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__s")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents as the mix takes them: left out, once, or repeated; same columns as ``docs``. Texts are not shuffled."""
+    plan = plan_mix(_sizes(docs), **options).select(F.col("source").alias("__s"), "whole", "threshold")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), mix_hash(docs).alias("mix_hash"), docs["source"].alias("__source"))
+    taken = keyed.join(broadcast_if_small(plan, BROADCAST_SOURCES), F.col("__source").eqNullSafe(F.col("__s"))).where(_copies() > 0)
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), _copies())).alias("__i")).select("__row.*")
 
 
 def _thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,12 +127,3 @@ def _thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
     return done
-
-
-def apply_mix(docs: DataFrame, decisions: DataFrame | None = None, **options) -> DataFrame:
-    """The documents as the mix takes them: left out, once, or repeated; same columns as ``docs``."""
-    taken = (decisions if decisions is not None else mix_sources(docs, **options)).select("doc_id", "source", "mix_hash", "copies").dropDuplicates()
-    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")), 1)
-    kept = taken.where("copies > 0").select(F.col("mix_hash").alias("__h"), F.col("copies").alias("__n"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"))
-    joined = docs.withColumn("__k", key).join(kept, (F.col("__k") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
-    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).drop("__i")

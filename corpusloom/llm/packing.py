@@ -202,7 +202,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     shift = counted.select(F.col("length").alias("__length"), F.col("__salt").alias("__of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(broadcast_if_small(shift, 1_000_000), (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__of")))
+    ranked = ranked.join(broadcast_if_small(shift, 100_000), (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__of")))
     ranked = ranked.select(*pieces.columns, (F.col("__rank") + F.col("__shift")).alias("__rank"))
     plan = spark.sparkContext.broadcast(runs)  # a few runs for each length, whatever the input's size
     names = [*pieces.columns, "sequence_id", "offset"]

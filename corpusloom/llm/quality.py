@@ -123,6 +123,20 @@ def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality",
     return boosting.fit(x, np.array(rows["label"], dtype=float))
 
 
+def filter_quality(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The documents scored ``threshold`` or higher, as they are; the texts are read where they lie and not shuffled."""
+    trainable = remainder(F.col("doc_id"), held_out_of) != 0
+    named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(trainable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    model = fit_quality(statistics(docs.join(F.broadcast(named), "doc_id", "left_semi")), labels, trainable=trainable)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield batch.filter(pa.array(model.predict(document_statistics(*buffers(batch.column(at)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(features: DataFrame, model: boosting.Trees) -> DataFrame:
     """(doc_id, score 0 to 1) for each row of ``statistics``."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, chat, media, mixing, packing, quality, simhash, substrings, toxicity
+from corpusloom.llm import ann, chat, lm, media, mixing, packing, quality, simhash, substrings, toxicity
 from corpusloom.plans.runtime import read, ship
 
 
@@ -27,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -75,7 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_nearest_neighbours, op2_substring_dedup, op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
+_ALL = (op1_nearest_neighbours, op2_substring_dedup, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
