@@ -35,3 +35,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = pairs.where("u = v").select(F.col("u").alias("node")).join(members, "node", "left_anti").select("node", F.col("node").alias("component"))
     return members.unionByName(roots).unionByName(alone).distinct()
+
+
+def forest_roots(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
+    """(node): those of ``nodes`` that redirect to no other; edges say that src redirects to dst."""
+    return nodes.select(node).distinct().join(edges.select(F.col(src).alias(node)).distinct(), node, "left_anti")
+
+
+def forest_members(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
+    """(root, node): each root and all that reach it by redirects, itself included.
+
+    Walks outwards from the roots one level a round and stops when a round
+    finds nothing new, so cycles end it too; nodes on a cycle have no root and are left out.
+    """
+    links = materialize(edges.select(F.col(src).alias("from"), F.col(dst).alias("to")).distinct(), "links")
+    front = forest_roots(edges, nodes, src, dst, node).select(F.col(node).alias("root"), F.col(node).alias("node"))
+    found = front = materialize(front, "members")
+    while True:
+        step = front.join(links, F.col("node") == F.col("to")).select("root", F.col("from").alias("node")).distinct()
+        front = materialize(step.join(found, ["root", "node"], "left_anti"), "members")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def root_of(members: DataFrame) -> DataFrame:
+    """(node, root): the smallest root where a node has several."""
+    return members.groupBy("node").agg(F.min("root").alias("root"))
