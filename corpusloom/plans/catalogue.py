@@ -331,8 +331,8 @@ def section_text_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT unnest(range(0, 101, 5))::INT AS percent), d AS (SELECT list_sort(list(n_chars::DOUBLE)) AS v FROM documents WHERE n_chars IS NOT NULL), p AS (SELECT percent, v, percent / 100.0::DOUBLE * (len(v) - 1) AS at FROM x, d)
-SELECT percent, round(v[floor(at)::INT + 1] + (at - floor(at)) * (v[ceil(at)::INT + 1] - v[floor(at)::INT + 1]), 4) AS value FROM p""")
+WITH x AS (SELECT unnest(range(0, 101, 5))::INT AS percent), d AS (SELECT list_sort(list(n_chars::DOUBLE)) AS v FROM documents WHERE n_chars IS NOT NULL), p AS (SELECT percent, v, percent / 100.0::DOUBLE * (len(v) - 1) AS pos FROM x, d)
+SELECT percent, round(v[floor(pos)::INT + 1] + (pos - floor(pos)) * (v[ceil(pos)::INT + 1] - v[floor(pos)::INT + 1]), 4) AS value FROM p""")
 def token_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth percentile of text lengths."""
     return S.percentiles(read(spark, sf_dir, "documents"), "n_chars").withColumn("value", F.round("value", 4))
