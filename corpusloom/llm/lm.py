@@ -309,13 +309,13 @@ def score_texts(docs: DataFrame, remainder_of: int = 7, held_at: int = 2, words:
             words = words_of(*buffers(batch.column(1)), lower=True)
             n = batch.num_rows
             w, near, far, doc = sequences(words, v)
-            score = np.bincount(doc, scorer.log10(w, near, far), n)
+            score = np.bincount(doc, scorer.log10(w, near, far), n).astype(np.float64)
             tokens = np.insert(words.hashes(), words.first[1:], END)
             classes = np.insert(word_class(words), words.first[1:], 0)
             at = np.minimum(np.searchsorted(names, tokens), max(len(names) - 1, 0))
             hit = names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
             c = np.where(hit, count[at] if len(names) else 0, 0)
-            base = np.bincount(doc[hit], np.log10(c[hit] + 1.0) - base_norm, n)
+            base = np.bincount(doc[hit], np.log10(c[hit] + 1.0) - base_norm, n).astype(np.float64)
             inner = hit & (w >= len(v.names))
             score += np.bincount(doc[inner], np.log10((c[inner] + 1.0) / v.class_total[classes[inner]]), n)
             rare = np.flatnonzero(~hit)

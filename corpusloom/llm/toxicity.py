@@ -88,7 +88,7 @@ class Sparse:
 class Learner:
     """FTRL-proximal: z and n per coordinate; weights exist only where |z| exceeds the L1 penalty."""
 
-    def __init__(self, bits: int = HASH_BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int = HASH_BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the bias, without penalty
         self.bits = bits
@@ -113,7 +113,7 @@ class Learner:
         return Sparse(at, w[at], float(w[-1]), self.bits)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", trainable: Column | None = None, sample_rows: int = SAMPLE_ROWS, passes: int = 3) -> Sparse:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", trainable: Column | None = None, sample_rows: int = SAMPLE_ROWS, passes: int = 4) -> Sparse:
     """Fit on at most ``sample_rows`` labelled rows (a documented bound): those with the smallest hashes of doc_id.
 
     Null labels and ids take no part; of contradicting labels the larger holds. The
