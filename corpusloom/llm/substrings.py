@@ -108,6 +108,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, body, runs array<struct<at, windows>>): windows of each document whose words also start in a document with a smaller doc_id."""
     parts = materialize(segments(docs, window), "segments")
     names = parts.groupBy("name").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("smallest < largest")
+    names = materialize(names, "shared-names")  # written, so that the join has exchanges of its own, and a hot name's rows are split
     shared = parts.join(names.select("name", "smallest", (F.col("k0") == F.col("k1")).alias("alike")), "name")
     shared = materialize(shared, "shared-segments")
     whole = shared.where("alike AND doc_id > smallest").select("doc_id", "body", F.array(F.struct("at", "windows")).alias("runs"))
@@ -136,8 +137,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     windows = _texts_of(docs, lists).select("doc_id", "text", "items").mapInArrow(spread, "w0 long, w1 long, name long, kind long, index int, doc_id long")
     windows = materialize(windows, "segment-windows")
-    first = windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest"))
+    first = materialize(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")), "first-windows")
     owned = windows.drop("doc_id").join(first, ["w0", "w1"]).groupBy("name", "kind").agg(F.collect_list(F.struct("index", "smallest")).alias("found"))
+    owned = materialize(owned, "segment-owners")
     # a kind's windows are met by its own first document too, so later documents of the kind are covered as well
     part = mixed.join(owned, ["name", "kind"])
     hit = F.filter("found", lambda x: x["smallest"] < F.col("doc_id"))
