@@ -31,8 +31,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 4096, 200, 0.96
 #: Vectors of one bucket in one task; a larger bucket is cut, and its queries visit every part.
 BUCKET_ROWS = 20_000
 HOT_BUCKETS = 50_000
-#: Vector entries (one for each table) in one task, about.
-TASK_ROWS = 40_000
+#: Vector entries (one for each table) in one task, about, and tasks at least; a query leaves its best from each task it visits.
+TASK_ROWS, TASKS = 40_000, 24
 
 
 def probe_order(functions: int, probes: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
     if index is None:
         return spark.createDataFrame([], schema)
     total = classes.count() * index.tables
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    tasks = max(TASKS, total // TASK_ROWS)
     limit = max(BUCKET_ROWS, total // HOT_BUCKETS + 1)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
