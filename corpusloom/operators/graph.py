@@ -22,9 +22,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         links = stars.where("u <> v")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # written before it is joined: then both sides have exchanges of their own and a node of many edges is split
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-stars")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         hung = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = materialize(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = tuple(stars.agg(F.count("u"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
