@@ -76,7 +76,7 @@ def collection_faults(blocks: DataFrame, metadata_json: str = "block_metadata",
     ``metadata_json`` is a JSON string column; shapes are compared as DDL of the parsed value. The reference shape is the
     first row's where a ``row`` number is given.
     """
-    shape = F.schema_of_variant(F.try_parse_json(metadata_json))
+    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(metadata_json)), r"DECIMAL\(\d+,\d+\)", "DOUBLE")
     d = blocks.select(shape.alias("shape"), F.col("num_tokens"), (F.col(row) if row else F.lit(0)).alias("row"))
     if row:
         chosen = d.agg(F.min_by("shape", "row").alias("chosen"))
