@@ -12,6 +12,7 @@ MAX_DOCUMENT_TITLE = 500
 MAX_SECTION_TITLE = 400
 TRANSLATION_PREFIX = "(in English: "
 RED_LINK = "?action=edit&redlink=1"
+UNSAFE_IN_NAMES = r"[/\\?%*:|\"<>\x7F\x00-\x1F]"
 NO_RESULTS = "No relevant results found."
 
 
@@ -100,7 +101,8 @@ def remove_all_extensions(x: Column | str) -> Column:
 
 
 def secure_file_name(x: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(x), r"\s+", "_"), r"[^A-Za-z0-9_.-]", "")
+    """Path and control characters become '-', blanks '_'."""
+    return F.replace(F.regexp_replace(_c(x), UNSAFE_IN_NAMES, "-"), F.lit(" "), F.lit("_"))
 
 
 def remove_prefix(x: Column | str, prefix: str = "User:") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators.blocks import near_dedup_ordered
+from corpusloom.plans.runtime import materialize
 
 
 @dataclass
@@ -88,3 +89,23 @@ def first_sentence(passage: Column | str) -> Column:
     """Up to the first full stop, question or exclamation mark that ends a word."""
     c = F.col(passage) if isinstance(passage, str) else passage
     return F.regexp_extract(c, r"(?s)^\s*(.*?(?:[.!?](?=\s|$)|$))", 1)
+
+
+def simulate(topics: DataFrame, user: Callable[[Column, Column], Column], agent: Callable[[DataFrame], DataFrame], turns: int) -> DataFrame:
+    """Whole dialogues about ``topics`` (dialogue_id, topic): dialogue_id, turn_id, user_utterance, agent_utterance.
+
+    ``user`` maps history and topic to an utterance; ``agent`` maps (dialogue_id, history, utterance) to
+    (dialogue_id, agent_utterance). All dialogues take each turn together; one whose user says nothing ends.
+    """
+    state = topics.select("dialogue_id", "topic", F.lit("").alias("history"))
+    done = None
+    for turn in range(turns):
+        said = T.remove_prefix(user(F.col("history"), F.col("topic")))
+        state = state.withColumn("utterance", said).where(F.coalesce("utterance", F.lit("")) != "")
+        answered = agent(state.select("dialogue_id", "history", "utterance")).select("dialogue_id", "agent_utterance")
+        state = materialize(state.join(answered, "dialogue_id"), "simulated-turn")
+        rows = state.select("dialogue_id", F.lit(turn).alias("turn_id"), F.col("utterance").alias("user_utterance"), "agent_utterance")
+        done = rows if done is None else done.unionByName(rows)
+        line = F.concat(F.lit("User: "), "utterance", F.lit("\nChatbot: "), "agent_utterance", F.lit("\n"))
+        state = state.select("dialogue_id", "topic", F.concat("history", line).alias("history"))
+    return done

@@ -334,6 +334,35 @@ def blocks_of(page: str | None, title: str = "", translations: Mapping[str, str]
     return walk.blocks
 
 
+def markdown_html(text: str) -> str:
+    """Plain Markdown with linearised tables as HTML: headings, lists, emphasis, links and paragraphs."""
+    tables: list[str] = []
+
+    def keep(match: re.Match) -> str:
+        tables.append(table_html(match[0]))
+        return f"\n\n\x00{len(tables) - 1}\x00\n\n"
+
+    def inline(s: str) -> str:
+        s = html.escape(s, quote=False)
+        s = re.sub(r"\[([^\]]*)\]\(([^)\s]*)\)", r'<a href="\2">\1</a>', s)
+        return re.sub(r"\*(.+?)\*", r"<em>\1</em>", re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", s))
+
+    out = []
+    for part in re.split(r"\n\s*\n", re.sub(r"(?s)<Table>.*?</Table>", keep, text)):
+        part = part.strip("\n")
+        head = re.match(r"(#{1,6}) (.*)", part)
+        if m := re.fullmatch(r"\x00(\d+)\x00", part.strip()):
+            out.append(tables[int(m[1])])
+        elif head and "\n" not in part:
+            n = len(head[1])
+            out.append(f"<h{n}>{inline(head[2])}</h{n}>")
+        elif part and all(re.match(r"[-*] ", x) for x in part.split("\n")):
+            out.append("<ul>" + "".join(f"<li>{inline(x[2:])}</li>" for x in part.split("\n")) + "</ul>")
+        elif part.strip():
+            out.append(f"<p>{inline(part)}</p>")
+    return "\n".join(out)
+
+
 def html_to_blocks(pages: DataFrame, keys: list[str], html_column: str = "html", title_column: str | None = None, translations: Mapping[str, str] | None = None, banned: frozenset[str] = BANNED_SECTIONS) -> DataFrame:
     """keys, block_no (from 1), section_title, content, block_type of every page; null and empty pages give no rows.
 

@@ -49,6 +49,13 @@ def test_table_html():
     assert H.table_html("<Table>\n| h | k |\n| --- | --- |\nkey: value\n| 1 | 2 |\nall\n</Table>") == '<table><tr><th>h</th><th>k</th></tr><tr><td>key</td><td colspan="1">value</td></tr><tr><td>1</td><td>2</td></tr><tr><td colspan="2">all</td></tr></table>'
 
 
+def test_markdown_html():
+    assert H.markdown_html("## A & b\n\n- x\n- **y**\n\nsee [z](http://z)\n<Table>\n| h | k |\n| --- | --- |\n| 1 | 2 |\n</Table>") == (
+        '<h2>A &amp; b</h2>\n<ul><li>x</li><li><strong>y</strong></li></ul>\n<p>see <a href="http://z">z</a></p>\n<table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2</td></tr></table>'
+    )
+    assert H.markdown_html("") == ""
+
+
 def test_pages_as_rows(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id long, html string")
     rows = H.html_to_blocks(df, ["page_id"]).collect()
