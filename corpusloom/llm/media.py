@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from corpusloom.llm._text import blocks, buffers
 
@@ -174,9 +175,6 @@ def to_media(docs: DataFrame, level: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-MEDIA_FACTS = "payload binary, n_bytes long, feature string"
-
-
 def read_media(frame: DataFrame, column: str = "media") -> DataFrame:
     """Decode a media column: all other columns plus payload (padded samples), n_bytes and feature.
 
@@ -185,7 +183,7 @@ def read_media(frame: DataFrame, column: str = "media") -> DataFrame:
     """
     kept = [f for f in frame.schema.fields if f.name not in (column, "payload", "n_bytes", "feature")]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), MEDIA_FACTS])
+    schema = StructType([*kept, StructField("payload", BinaryType()), StructField("n_bytes", LongType()), StructField("feature", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "__media"):

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from corpusloom.llm._text import blocks, buffers, words_of
@@ -218,8 +219,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             columns = [b.column(b.schema.get_field_index(c)) for c in names[:-2]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(r[:, 3] + q % r[:, 4]), pa.array(r[:, 5] + q // r[:, 4] * length)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

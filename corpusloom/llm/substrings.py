@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm import recompression
 from corpusloom.llm._text import Words, blocks, buffers, mix, words_of
@@ -175,7 +176,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialize(repeated_windows(docs, window), "repeated-windows")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     kept = [f for f in docs.schema.fields if f.name in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words long, n_removed long"
+    schema = StructType([*kept, StructField("n_words", LongType()), StructField("n_removed", LongType())])
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
