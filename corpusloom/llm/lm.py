@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm._text import Words, blocks, buffers, mix, words_of
 from corpusloom.plans.runtime import materialize
 
-WORDS, DIMENSION, ROUNDS, NOISE, BATCH, STEP = 2048, 32, 2, 64, 8192, 0.08
+WORDS, DIMENSION, ROUNDS, NOISE, BATCH, STEP = 2048, 32, 2, 64, 4096, 0.08
+#: Tokens that a training task gathers before it takes steps; equal ones among them cost one row.
+TOKENS_TOGETHER = 2_000_000
 #: Words whose counts are broadcast to the scoring tasks, the commonest; counts of the rest are joined by shuffle.
 BROADCAST_WORDS = 1_000_000
 #: The name of the end token, which no word has (up to a collision of 64-bit hashes).
@@ -138,36 +140,54 @@ class Trainer:
         past[at] += total * total
         value[at] += self.step * total / np.sqrt(past[at])
 
-    def batch(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+    def learn(self, keys: np.ndarray) -> None:
+        """Steps over (symbol, before, before that) packed into ``keys``; equal ones are one row with its count."""
+        side = self.p.context.shape[0]
+        keys, count = np.unique(keys, return_counts=True)
+        order = self.rng.permutation(len(keys))
+        for at in range(0, len(keys), BATCH):
+            some = order[at : at + BATCH]
+            rest, far = np.divmod(keys[some], side)
+            w, near = np.divmod(rest, side)
+            self.batch(w, near, far, count[some].astype(np.float32))
+        self.seen += int(count.sum())
+
+    def batch(self, w: np.ndarray, near: np.ndarray, far: np.ndarray, count: np.ndarray) -> None:
         p = self.p
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise)), len(self.edges) - 1)
         a, b, r, rn = p.context[near], p.context[far], p.target[w], p.target[noise]
         q = a * p.near + b * p.far
         real = (q * r).sum(axis=1) + p.bias[w] - self.log_noise[w]
         false = q @ rn.T + (p.bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        scale = np.float32(1 / len(w) * 64)
-        up, down = (up * scale).astype(np.float32), (down * scale).astype(np.float32)
+        scale = count * np.float32(64 / count.sum())
+        with np.errstate(over="ignore"):
+            up = scale / (1 + np.exp(real))
+            np.negative(false, out=false)
+            np.exp(false, out=false)
+            false += 1
+            down = np.divide(scale[:, None], false, out=false)
         dq = up[:, None] * r - down @ rn
         self._apply(3, None, (dq * a).sum(axis=0))
         self._apply(4, None, (dq * b).sum(axis=0))
         self._apply(0, np.concatenate([near, far]), np.concatenate([dq * p.near, dq * p.far]))
         self._apply(1, np.concatenate([w, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)]))
         self._apply(2, np.concatenate([w, noise]), np.concatenate([up, -down.sum(axis=0)]))
-        self.seen += len(w)
 
 
 class Scorer:
     """log10 probabilities by table: every context's normaliser comes from one matrix product."""
 
     def __init__(self, p: Parameters):
-        one = (p.context * p.near).astype(np.float64) @ p.target.T.astype(np.float64)
-        two = (p.context * p.far).astype(np.float64) @ p.target.T.astype(np.float64)
+        one, two = (p.context * p.near) @ p.target.T, (p.context * p.far) @ p.target.T
         top, over = one.max(axis=1), two.max(axis=1)
-        norm = np.exp(one - top[:, None]) @ (np.exp(two - over[:, None]) * np.exp(p.bias.astype(np.float64))).T
-        self.norm = (np.log(np.maximum(norm, 1e-300)) + top[:, None] + over[None, :]).astype(np.float32)
-        self.one, self.two, self.bias = (one + p.bias).astype(np.float32), two.astype(np.float32), p.bias
+        right = (np.exp(two - over[:, None], dtype=np.float64) * np.exp(p.bias.astype(np.float64))).T
+        self.norm = np.empty((len(one), len(two)), np.float32)
+        for at in range(0, len(one), 256):  # in rows, so that only one table is held in double precision
+            rows = slice(at, at + 256)
+            product = np.exp(one[rows] - top[rows, None], dtype=np.float64) @ right
+            self.norm[rows] = np.log(np.maximum(product, 1e-300)) + top[rows, None] + over[None, :]
+        one += p.bias
+        self.one, self.two = one, two
 
     def log10(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         return (self.one[near, w].astype(np.float64) + self.two[far, w] - self.norm[near, far]) / np.log(10)
@@ -195,7 +215,7 @@ def word_counts(docs: DataFrame, held: Column) -> DataFrame:
             names, first, count = np.unique(words.hashes(), return_index=True, return_counts=True)
             held_here.append((names, word_class(words)[first], count))
             held_here.append((np.array([END]), np.array([-1]), np.array([batch.num_rows])))
-            if sum(len(h[0]) for h in held_here) > 2_000_000:
+            if sum(len(h[0]) for h in held_here) > 1_500_000:
                 held_here = [merged()]
                 if len(held_here[0][0]) > 1_000_000:
                     yield out()
@@ -239,12 +259,15 @@ def train(docs: DataFrame, held: Column, vocabulary: Vocabulary, rounds: int = R
         def run(batches: Iterator[pa.RecordBatch], number=number, sent=sent) -> Iterator[pa.RecordBatch]:
             parameters, words = sent.value
             trainer = Trainer(parameters, words, noise, step / (1 + number), seed=number)
+            held: list[np.ndarray] = []
             for batch in blocks(batches):
                 w, near, far, _ = sequences(words_of(*buffers(batch.column(0)), lower=True), words)
-                order = np.random.default_rng(len(w)).permutation(len(w))
-                for at in range(0, len(w), BATCH):
-                    some = order[at : at + BATCH]
-                    trainer.batch(w[some], near[some], far[some])
+                held.append((w * (words.size + 1) + near) * (words.size + 1) + far)
+                if sum(map(len, held)) >= TOKENS_TOGETHER:
+                    trainer.learn(np.concatenate(held))
+                    held = []
+            if held:
+                trainer.learn(np.concatenate(held))
             if trainer.seen:
                 moved = (trainer.p.flat() - parameters.flat()).astype(np.float64) * trainer.seen
                 parts = np.array_split(moved, _SLICES)
