@@ -115,36 +115,40 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = shared.where("alike AND doc_id > smallest").select("doc_id", "body", F.array(F.struct("at", "windows")).alias("runs"))
 
     mixed = shared.where("NOT alike")
-    kinds = mixed.groupBy("name", "kind").agg(F.min(F.struct("doc_id", "body", "at", "windows")).alias("one")).select("name", "kind", "one.*")
-    lists = materialize(kinds.groupBy("doc_id", "body").agg(F.collect_list(F.struct("name", "kind", "at", "windows")).alias("items")), "segment-kinds")
+    kinds = mixed.groupBy("name", "kind").agg(F.min(F.struct("doc_id", "body", "at", "windows")).alias("one"), F.count("*").alias("members"))
+    kinds = materialize(kinds, "segment-kinds")
+    lists = materialize(kinds.select("one.*").groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "windows")).alias("items")), "segments-of-kinds")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            words = words_of(*buffers(batch.column(batch.schema.get_field_index("text"))))
+            words = words_of(*buffers(batch.column(1)))
             rolling = Rolling(words.hashes())
-            items = batch.column(batch.schema.get_field_index("items"))
+            items = batch.column(3)
             flat = items.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.asarray(items.value_lengths()))
-            many = np.asarray(flat.field("windows")).astype(np.int64)
+            many, at = (np.asarray(flat.field(c)).astype(np.int64) for c in ("windows", "at"))
             each = np.repeat(np.arange(len(many)), many)
             index = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-            start = words.first[row[each]] + np.asarray(flat.field("at"))[each] + index
-            take = pa.array(each)
+            start = words.first[row[each]] + at[each] + index
+            owner = pa.array(row[each])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rolling.of(start, start + window, k).view(np.int64)) for k in (0, 1)]
-                + [flat.field("name").take(take), flat.field("kind").take(take), pa.array(index.astype(np.int32)), batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row[each]))],
-                ["w0", "w1", "name", "kind", "index", "doc_id"],
+                [*(pa.array(rolling.of(start, start + window, k).view(np.int64)) for k in (0, 1)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array(at[each].astype(np.int32)), pa.array(index.astype(np.int32))],
+                ["w0", "w1", "doc_id", "body", "at", "index"],
             )
 
-    windows = _texts_of(docs, lists).select("doc_id", "text", "items").mapInArrow(spread, "w0 long, w1 long, name long, kind long, index int, doc_id long")
+    windows = _texts_of(docs, lists).select("doc_id", "text", "body", "items").mapInArrow(spread, "w0 long, w1 long, doc_id long, body long, at int, index int")
     windows = materialize(windows, "segment-windows")
     first = materialize(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")), "first-windows")
-    owned = windows.drop("doc_id").join(first, ["w0", "w1"]).groupBy("name", "kind").agg(F.collect_list(F.struct("index", "smallest")).alias("found"))
+    owned = windows.join(first, ["w0", "w1"]).groupBy("doc_id", "body", "at").agg(F.collect_list(F.struct("index", "smallest")).alias("found"))
     owned = materialize(owned, "segment-owners")
-    # a kind's windows are met by its own first document too, so later documents of the kind are covered as well
-    part = mixed.join(owned, ["name", "kind"])
-    hit = F.filter("found", lambda x: x["smallest"] < F.col("doc_id"))
-    part = part.select("doc_id", "body", F.transform(hit, lambda x: F.struct((F.col("at") + x["index"]).alias("at"), F.lit(1).alias("windows"))).alias("runs")).where("size(runs) > 0")
+    covered = lambda at: F.transform(F.filter("found", lambda x: x["smallest"] < F.col("doc_id")), lambda x: F.struct((at + x["index"]).alias("at"), F.lit(1).alias("windows")))
+    ones = owned.select("doc_id", "body", covered(F.col("at")).alias("runs"))
+    # the other segments of a kind have the windows of its first one, which may itself be the earlier document
+    more = kinds.where("members > 1").select("name", "kind", F.col("one.doc_id").alias("d"), F.col("one.body").alias("b"), F.col("one.at").alias("a"))
+    others = mixed.join(more, ["name", "kind"]).where("NOT (doc_id = d AND body = b AND at = a)").select("doc_id", "body", F.col("at").alias("place"), "d", "b", "a")
+    of_one = owned.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("at").alias("a"), "found")
+    others = materialize(others, "other-segments").join(of_one, ["d", "b", "a"]).select("doc_id", "body", covered(F.col("place")).alias("runs"))
+    part = ones.unionByName(others).where("size(runs) > 0")
     return whole.unionByName(part).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
