@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -55,12 +53,11 @@ def truncate_and_normalize(v: Column | str, dimensions: int) -> Column:
 
 
 def sign_bits(v: Column | str, dimensions: int) -> Column:
-    """Signs packed 32 to a long, highest dimension first."""
-    words = []
-    for first in range(0, dimensions, 32):
-        bits = [F.when(F.get(v, F.lit(i)) > 0, F.lit(1 << (i - first)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(first, min(first + 32, dimensions))]
-        words.append(reduce(lambda x, y: x.bitwiseOR(y), bits))
-    return F.array(*words)
+    """Signs packed 32 to a long; a lambda over slices, as an expression for each dimension would be compiled for long."""
+    one = F.lit(1).cast("long")
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.transform(F.slice(v, w * 32 + 1, F.lit(32)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.transform(F.sequence(F.lit(0), F.lit((dimensions - 1) // 32)), word)
 
 
 def differing_bits(a: Column | str, b: Column | str) -> Column:
