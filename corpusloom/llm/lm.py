@@ -210,7 +210,7 @@ def word_counts(docs: DataFrame, held: Column) -> DataFrame:
             names, kind, count = merged()
             return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(count)], ["word", "class", "count"])
 
-        for batch in blocks(batches, size=8 << 20):
+        for batch in blocks(batches, size=4 << 20):
             words = words_of(*buffers(batch.column(0)), lower=True)
             names, first, count = np.unique(words.hashes(), return_index=True, return_counts=True)
             held_here.append((names, word_class(words)[first], count))
