@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import golay
 from corpusloom.llm._text import blocks, buffers, words_of
+from corpusloom.llm.shingles import near_components
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.runtime import broadcast_if_small, materialize
 
@@ -265,12 +266,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFram
     return printed.join(broadcast_if_small(found, 400_000), F.col("fingerprint") == F.col("__of"), "left").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the smallest doc_id, once; same columns as ``docs``.
 
+    Groups are those of ``shingles.near_components``: five-word shingles, similarity 0.8 or more.
     Rows with null doc_id stay only where their group has no other row.
     """
-    groups = materialize(near_duplicates(docs, **options), "near-duplicates")
+    found = materialize(near_components(docs), "near-duplicates")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = materialize(found.join(least, "component"), "near-duplicate-groups")
     goes = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(goes, 400_000), "doc_id", "left_anti").select(*docs.columns)
     kept = kept.where(F.col("doc_id").isNotNull())
@@ -278,7 +282,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     if not twice.isEmpty():
         again = broadcast_if_small(materialize(twice, "repeated-ids"), 400_000)
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").select("component").distinct()
     if nameless.isEmpty():
         return kept
     return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*docs.columns))
