@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm._text import _M1, blocks, buffers, mix, words_of
 from corpusloom.operators.graph import connected_components
@@ -201,3 +202,16 @@ def near_components(docs: DataFrame) -> DataFrame:
     whole = connected_components(links.unionByName(more)).withColumnRenamed("node", "name")
     whole = materialize(whole, "components")
     return found.select("doc_id", "name").join(broadcast_if_small(whole, 400_000), "name", "left").select("doc_id", "name", F.coalesce("component", "name").alias("component"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with __name, the name of the row's set of shingles."""
+    columns = [*docs.columns, "__name"]
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            name = set_names(*shingle_sets(*buffers(batch.column(at))), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name)], columns)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__name", LongType())]))

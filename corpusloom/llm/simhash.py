@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import golay
 from corpusloom.llm._text import blocks, buffers, words_of
-from corpusloom.llm.shingles import near_components
+from corpusloom.llm.shingles import named, near_components
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.runtime import broadcast_if_small, materialize
 
@@ -270,19 +270,20 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the smallest doc_id, once; same columns as ``docs``.
 
     Groups are those of ``shingles.near_components``: five-word shingles, similarity 0.8 or more.
-    Rows with null doc_id stay only where their group has no other row.
+    Each row is judged by its own text: different texts of one doc_id are different documents, and
+    rows of one doc_id in one group are one. Rows with null doc_id stay, once, only where their group has no other row.
     """
     found = materialize(near_components(docs), "near-duplicates")
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = materialize(found.join(least, "component"), "near-duplicate-groups")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    several = broadcast_if_small(materialize(ids.where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids"), 400_000)
     goes = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(goes, 400_000), "doc_id", "left_anti").select(*docs.columns)
-    kept = kept.where(F.col("doc_id").isNotNull())
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
-        again = broadcast_if_small(materialize(twice, "repeated-ids"), 400_000)
-        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").select("component").distinct()
-    if nameless.isEmpty():
+    named_rows = docs.where(F.col("doc_id").isNotNull())
+    kept = named_rows.join(broadcast_if_small(goes, 400_000), "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*docs.columns)
+    odd = named_rows.join(several, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    if odd.isEmpty():
         return kept
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*docs.columns))
+    stays = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("name").alias("__set"), F.col("component").alias("__component")).distinct()
+    judged = named(odd).join(materialize(stays, "staying-rows"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__name") == F.col("__set")))
+    return kept.unionByName(judged.dropDuplicates(["__id", "__component"]).select(*docs.columns))

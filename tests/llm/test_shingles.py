@@ -45,3 +45,11 @@ def test_a_large_family_beside_shared_passages(spark, monkeypatch):
     texts += [license_line + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == brute(texts)
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(1, one), (5, one), (5, two), (6, three), (6, four), (7, two), (8, three), (8, three), (None, one), (None, "p q r s t u"), (None, "p q r s t u"), (9, "v w"), (9, "v w")]
+    docs = spark.createDataFrame([(t, d, "k") for d, t in rows], "text string, doc_id long, name string")
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (5, two), (6, three), (6, four), (None, "p q r s t u"), (9, "v w")], key=str)
