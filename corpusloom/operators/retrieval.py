@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,26 @@ def _top(pairs: DataFrame, score: Column, k: int, id_column: str) -> DataFrame:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, filters: Iterable[Filter] = (), id_column: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """Exact search by inner product: query_id, ``id_column``, similarity, rank, ties to the smaller id.
 
-    ``queries`` (query_id, query_vector) is one request's set, at most ``MAX_QUERIES`` rows, and is broadcast; the
+    ``queries`` (query_id, query_vector) are answered whole, in blocks of about ``MAX_QUERIES``, each broadcast; the
     filter reaches the scan of ``vectors``, and each task keeps its own best before rows meet.
     """
+    filters = list(filters)
+    return _by_blocks(queries, lambda few: _knn_block(few, vectors, k, filters, id_column, vector, exclude_self))
+
+
+def _by_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers of all queries; rows of one query_id are in one block."""
+    many = -(-queries.count() // MAX_QUERIES)
+    if many < 2:
+        return answer(queries)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(many))
+    return reduce(DataFrame.unionByName, [answer(queries.where(block == i)) for i in range(many)])
+
+
+def _knn_block(queries: DataFrame, vectors: DataFrame, k: int, filters: Iterable[Filter], id_column: str, vector: str, exclude_self: bool) -> DataFrame:
     wanted = compile_filters(filters)
     stored = vectors if wanted is None else vectors.where(wanted)
-    few = queries.select("query_id", "query_vector").limit(MAX_QUERIES)
+    few = queries.select("query_id", "query_vector")
     pairs = stored.select(id_column, F.col(vector).alias("__v")).join(F.broadcast(few))
     if exclude_self:
         pairs = pairs.where(F.col("query_id") != F.col(id_column))
@@ -60,10 +75,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, filters: Iterable[Filter
 
 
 def knn_quantized(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, oversampling: float = 3.0, filters: Iterable[Filter] = (), id_column: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """Candidates by the Hamming distance of sign bits, ``oversampling`` times k of them, then exact scores; columns as ``knn``."""
+    """Candidates by the Hamming distance of sign bits, ``oversampling`` times k of them, then exact scores; columns and blocks as ``knn``."""
+    filters = list(filters)
+    return _by_blocks(queries, lambda few: _quantized_block(few, vectors, k, dimensions, oversampling, filters, id_column, vector, exclude_self))
+
+
+def _quantized_block(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, oversampling: float, filters: Iterable[Filter], id_column: str, vector: str, exclude_self: bool) -> DataFrame:
     wanted = compile_filters(filters)
     stored = vectors if wanted is None else vectors.where(wanted)
-    few = queries.select("query_id", "query_vector", V.sign_bits("query_vector", dimensions).alias("__q")).limit(MAX_QUERIES)
+    few = queries.select("query_id", "query_vector", V.sign_bits("query_vector", dimensions).alias("__q"))
     bits = F.col("__bits") if "__bits" in stored.columns else V.sign_bits(vector, dimensions)
     pairs = stored.select(id_column, F.col(vector).alias("__v"), bits.alias("__b")).join(F.broadcast(few))
     if exclude_self:
