@@ -474,12 +474,16 @@ def rerank_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rerank_listwise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows from the tail, longer texts first."""
+    """Sliding windows from the tail over every item's whole list, longer texts first."""
 
     def choose(rows):
-        return [int(i) for i in rows["content"].str.len().to_numpy().argsort(kind="stable")[::-1]]
+        return [int(i) for i in rows["size"].to_numpy().argsort(kind="stable")[::-1]]
 
-    return RR.rerank_listwise(_lists(spark, sf_dir), choose).select("query_id", "doc_id", "rank")
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"), (F.col("doc_id") % 40).alias("k"))
+    order = Window.partitionBy("query_id").orderBy("doc_id")
+    lists = d.join(F.broadcast(b), "k").drop("k").withColumn("rank", F.row_number().over(order))
+    return RR.rerank_listwise(lists, choose).select("query_id", "doc_id", "rank")
 
 
 @query()
