@@ -283,10 +283,12 @@ WITH RECURSIVE e AS (SELECT o_orderkey AS u, o_custkey + 10000000 AS v FROM orde
 SELECT v - 10000000 AS customer, count(*) AS orders, min(u) AS component FROM e GROUP BY v""")
 def bipartite_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of orders and customers: each customer's smallest order."""
-    e = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("u"), (F.col("o_custkey") + 10_000_000).alias("v"))
-    found = G.connected_components(e, "u", "v").withColumn("leaf", F.col("node") < 10_000_000)
-    of = found.where("NOT leaf").select("component", (F.col("node") - 10_000_000).alias("customer"))
-    return of.join(found.where("leaf").groupBy("component").agg(F.count("*").alias("orders")), "component").select("customer", "orders", "component")
+    # even nodes are orders, odd ones customers
+    e = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") * 2).alias("u"), (F.col("o_custkey") * 2 + 1).alias("v"))
+    found = G.connected_components(e, "u", "v").withColumn("leaf", F.col("node") % 2 == 0).withColumn("key", F.expr("node div 2"))
+    of = found.where("NOT leaf").select(F.col("component").alias("__c"), F.col("key").alias("customer"))
+    orders = found.where("leaf").groupBy("component").agg(F.count("*").alias("orders"), F.min("key").alias("smallest"))
+    return of.join(orders, F.col("__c") == F.col("component")).select("customer", "orders", F.col("smallest").alias("component"))
 
 
 # ---- sequences

@@ -22,3 +22,10 @@ def test_every_item_is_reranked_over_its_whole_list(spark, tmp_path):
     spark.createDataFrame([(i, "x" * (i % 7)) for i in range(40 * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalogue.QUERIES["rerank_listwise_window"](spark, str(tmp_path)).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in found} == {i: 30 for i in range(90)}
+
+
+def test_order_keys_do_not_meet_customers_at_any_size(spark, tmp_path):
+    rows = [(5, 1), (10_000_010, 1), (10_000_005, 2), (10_000_000, 3)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalogue.QUERIES["bipartite_components"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 2, 5), (2, 1, 10_000_005), (3, 1, 10_000_000)]
