@@ -314,9 +314,24 @@ class _Walk:
                 own = tidy(text_of(c, frozenset({"ul", "ol", "dl", "table"}))).replace("\n", " ")
                 if own and self.skip_below is None:
                     self.items.append(own)
-                for inner in c.children:
-                    if isinstance(inner, Node) and inner.tag in ("ul", "ol", "dl"):
-                        self.list(inner)
+                self.nested(c)
+
+    def nested(self, item: Node) -> None:
+        """The nearest lists and tables below an item, at any depth; a table that is none stays as text."""
+        for c in item.children:
+            if not isinstance(c, Node):
+                continue
+            if c.tag in ("ul", "ol", "dl"):
+                self.list(c)
+            elif c.tag == "table":
+                linear = linearize(*grid_of(c))
+                if linear:
+                    self.flush()
+                    self.emit(linear, "infobox" if "infobox" in c.classes else "table")
+                elif (own := tidy(text_of(c)).replace("\n", " ")) and self.skip_below is None:
+                    self.items.append(own)
+            else:
+                self.nested(c)
 
 
 _BLOCKS = {*HEADINGS, "p", "ul", "ol", "dl", "table", "pre", "blockquote", "div", "section", "article", "main", "body", "nav", "footer", "header", "aside", "html", "figure"}

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
@@ -17,6 +19,14 @@ def test_every_query_is_answered(spark):
         assert got == expected
 
 
+def test_lists_and_tables_at_any_depth_of_an_item_are_kept():
+    page = "<ul><li>one<div><ul><li>two<span><ol><li>three</li></ol></span></li></ul></div></li><li>four<div><table><tr><td>a1</td><td>a2</td></tr><tr><td>b1</td><td>b2</td></tr></table></div></li><li>five<table><tr><td>alone</td></tr></table></li></ul><dl><dd><table><tr><td>c1</td><td>c2</td></tr></table></dd></dl>"
+    blocks = H.blocks_of(page)
+    words = re.findall(r"\w+", " ".join(content for _, content, _ in blocks))
+    assert all(words.count(w) == 1 for w in ("one", "two", "three", "four", "a1", "a2", "b1", "b2", "five", "alone", "c1", "c2"))
+    assert [kind for _, _, kind in blocks].count("table") == 2
+
+
 def test_every_item_is_reranked_over_its_whole_list(spark, tmp_path):
     spark.createDataFrame([(i, "q") for i in range(90)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, "x" * (i % 7)) for i in range(40 * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
