@@ -1,5 +1,5 @@
 import corpus_pipeline
-from corpusloom.llm import simhash, substrings
+from corpusloom.llm import shingles, substrings
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,11 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
     kept = frames[1].join(labels, "doc_id")
     assert kept.where("quality = 0").count() < 0.1 * docs.join(labels, "doc_id").where("quality = 0").count()
     assert kept.where("quality = 1").count() > 0.97 * docs.join(labels, "doc_id").where("quality = 1").count()
-    groups = simhash.near_duplicates(frames[1])
-    assert {r.doc_id for r in frames[2].collect()} == {r.component_id for r in groups.collect()}
-    assert substrings.repeated_windows(frames[3]).count() <= substrings.repeated_windows(frames[2]).count()
+    groups = shingles.near_components(frames[1]).groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    assert {r.doc_id for r in frames[2].collect()} == {r.doc_id for r in groups.collect()}
+    cut = substrings.remove_repeats(frames[2])
+    assert {(r.doc_id, r.text) for r in frames[3].collect()} == {(r.doc_id, r.text) for r in cut.collect()}
+    assert cut.where("n_removed > 0").count() > 0
     assert frames[3].where("n_chars <> length(text)").count() == 0
     assert frames[4].join(frames[3].select("doc_id"), "doc_id", "left_anti").count() == 0
     packed = frames[5].groupBy("sequence_id").agg(F.sum("length").alias("n"))
