@@ -12,8 +12,14 @@ MAX_DOCUMENT_TITLE = 500
 MAX_SECTION_TITLE = 400
 TRANSLATION_PREFIX = "(in English: "
 RED_LINK = "?action=edit&redlink=1"
-UNSAFE_IN_NAMES = r"[/\\?%*:|\"<>\x7F\x00-\x1F]"
 NO_RESULTS = "No relevant results found."
+#: Characters of a text that a prompt for listwise and for pointwise reranking shows.
+LISTWISE_CHARACTERS, POINTWISE_CHARACTERS = 600, 3000
+#: What common file systems keep for themselves, the percent sign of encoded names, and control characters.
+RESERVED_IN_NAMES = '"%*/:<>?' + "\\|"
+#: Letters, marks, numbers and the underscore make words in any script; every other visible character is a token of its own.
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+TOKEN = WORD + r"|[^\p{L}\p{M}\p{N}_\p{Z}\x00-\x20\x7F]"
 
 
 def _c(x: Column | str) -> Column:
@@ -100,9 +106,17 @@ def remove_all_extensions(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r"(?<=[^/])\.[^/]*$", "")
 
 
+_UNSAFE = RESERVED_IN_NAMES + "".join(chr(i) for i in (*range(32), 127))
+
+
 def secure_file_name(x: Column | str) -> Column:
-    """Path and control characters become '-', blanks '_'."""
-    return F.replace(F.regexp_replace(_c(x), UNSAFE_IN_NAMES, "-"), F.lit(" "), F.lit("_"))
+    """Reserved and control characters become '-', blanks '_'."""
+    return F.translate(_c(x), _UNSAFE + " ", "-" * len(_UNSAFE) + "_")
+
+
+def safe_name(name: str) -> str:
+    """``secure_file_name`` of one text."""
+    return name.translate(str.maketrans(_UNSAFE + " ", "-" * len(_UNSAFE) + "_"))
 
 
 def remove_prefix(x: Column | str, prefix: str = "User:") -> Column:
@@ -150,10 +164,10 @@ def paper_url(pdf_urls: Column | str, arxiv: Column | str, open_access: Column |
     return F.replace(url, F.lit("export.arxiv.org"), F.lit("arxiv.org"))
 
 
-@F.pandas_udf(StringType())
-def title_case(x: pd.Series) -> pd.Series:
-    """Every letter after a non-letter in upper case, the rest in lower case (``initcap`` only looks at blanks)."""
-    return x.str.title()
+def title_case(x: Column | str) -> Column:
+    """Every run of cased letters with the first in upper case, the rest in lower case (``initcap`` only looks at blanks)."""
+    runs = F.regexp_extract_all(_c(x), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1_000_000_000)))), "")
 
 
 def normalize_title(x: Column | str) -> Column:
@@ -174,9 +188,27 @@ def result_markdown(items: Column | str) -> Column:
     return F.when(F.size(_c(items)) == 0, F.lit(NO_RESULTS)).otherwise(F.array_join(parts, "\n\n"))
 
 
+def result_review(titles_and_texts: Column | str, first: int = 1, limit: int | None = None, prefix: str = "") -> Column:
+    """struct<text, shown>: passages for a reader, numbered from ``first``, and how many there are, so that the next list can go on."""
+    items = _c(titles_and_texts) if limit is None else F.slice(_c(titles_and_texts), 1, limit)
+    parts = F.transform(items, lambda x, i: F.concat(F.lit(f"<strong>[{prefix}"), (i + first).cast("string"), F.lit("] Title: "), x["title"], F.lit("</strong>\n\n"), x["content"]))
+    text = F.when(F.size(items) == 0, F.lit(NO_RESULTS)).otherwise(F.array_join(parts, "\n\n"))
+    return F.struct(text.alias("text"), F.size(items).alias("shown"))
+
+
+def prompt_excerpt(x: Column | str, limit: int = LISTWISE_CHARACTERS) -> Column:
+    """The part of a text that a reranking prompt shows."""
+    return F.left(_c(x), F.lit(limit))
+
+
 def count_tokens(x: Column | str) -> Column:
-    """Words and single marks: the default token count where no tokenizer is given."""
-    return F.regexp_count(_c(x), F.lit(r"\w+|[^\w\s]"))
+    """Words and single marks in any script: the token count of the whole engine where no tokenizer is given."""
+    return F.regexp_count(_c(x), F.lit(TOKEN))
+
+
+def words(x: Column | str) -> Column:
+    """The lower-case words of a text, in order, repeats included."""
+    return F.regexp_extract_all(F.lower(_c(x)), F.lit(WORD), 0)
 
 
 def shift_references(text: Column | str, references: Column | str) -> tuple[Column, Column]:
@@ -218,16 +250,26 @@ def english_translations(x: pd.Series) -> pd.Series:
     return x.map(extract_translations)
 
 
-def keep_first_translations(parts: list[str]) -> list[str]:
-    """Over the parts in order, each translation stays where it comes first and goes, with the blank before it, elsewhere."""
-    glue = " <|> "
-    whole = glue.join(p or "" for p in parts)
-    for t in dict.fromkeys(extract_translations(whole)):
-        old = " " + t
-        at = whole.find(old)
-        if at >= 0:
-            whole = whole[: at + len(old)] + whole[at + len(old) :].replace(old, "")
-    return whole.split(glue, len(parts) - 1)
+def keep_first_translations(parts: list[str | None]) -> list[str | None]:
+    """Over the parts in order, each translation stays where it comes first and goes, with the blank before it, elsewhere.
+
+    One that has no blank before it stays. A null part stays null.
+    """
+    seen: set[str] = set()
+    out: list[str | None] = []
+    for part in parts:
+        kept, at = [], 0
+        for mark in extract_translations(part):
+            here = part.index(mark, at)
+            before = part[at:here]
+            if mark in seen and before.endswith(" "):
+                kept.append(before[:-1])
+            else:
+                kept += [before, mark]
+            seen.add(mark)
+            at = here + len(mark)
+        out.append(part if part is None else "".join(kept) + part[at:])
+    return out
 
 
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("document_title", "section_title", "content")]))

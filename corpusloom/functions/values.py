@@ -65,9 +65,10 @@ def differing_bits(a: Column | str, b: Column | str) -> Column:
 
 
 def softmax(score: Column, over: WindowSpec | list[str]) -> Column:
-    """exp(score) over its sum in the window."""
+    """exp(score) over its sum in the window; the largest score is subtracted first, so no score overflows."""
     w = Window.partitionBy(*over) if isinstance(over, list) else over
-    return F.exp(score) / F.sum(F.exp(score)).over(w)
+    raised = F.exp(score - F.max(score).over(w))
+    return raised / F.sum(raised).over(w)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
@@ -82,3 +83,21 @@ def yes_probability(top: Column | str, temperature: float = 5.0) -> Column:
     said = F.filter(top, lambda x: low(x).contains("yes") | (low(x).contains("no") & ~low(x).contains("not")))
     weigh = lambda items: F.aggregate(items, F.lit(0.0), lambda s, x: s + F.exp(x["logprob"] / temperature))
     return F.when(F.size(said) > 0, weigh(F.filter(said, lambda x: low(x).contains("yes"))) / weigh(said))
+
+
+def list_score(place: Column, size: Column) -> Column:
+    """1 - i/n for the i-th (from 0) of n: a score that follows a list's order."""
+    return 1 - place / size
+
+
+def merged_options(defaults: Column | str, overrides: Column | str) -> Column:
+    """Two maps as one; the second one's values win."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (defaults, overrides))
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def available_languages(links: Column | str, labels: Column | str, left_out: tuple[str, ...] = ("en", "en-gb", "en-ca", "commons", "simple")) -> Column:
+    """map<language, name> of an entity's links and labels, a link before a label; without the languages ``left_out``."""
+    merged = merged_options(labels, links)
+    keys = F.array_except(F.map_keys(merged), F.array(*[F.lit(x) for x in left_out]))
+    return F.map_filter(merged, lambda k, _: F.array_contains(keys, k))

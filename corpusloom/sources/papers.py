@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators.blocks import pack_blocks
@@ -18,43 +20,56 @@ SEPARATORS = ("\n\n", "\n", " ", ".", ",", "​", "，", "、", "．", "。", ""
 CHUNK_TOKENS = 600
 
 
-def default_length(text: str) -> int:
-    import re
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each token, by the pattern that ``text.count_tokens`` counts."""
+    import regex
 
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return [m.span() for m in regex.finditer(T.TOKEN, text)]
 
 
-def split_recursive(text: str, limit: int = CHUNK_TOKENS, length: Callable[[str], int] = default_length, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+def split_recursive(text: str, limit: int = CHUNK_TOKENS, spans: Callable[[str], list[tuple[int, int]]] = token_spans, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most ``limit`` tokens, cut at the first separator that occurs; pieces still too long are cut by the next ones.
 
-    Neighbouring pieces are joined again while they fit; a separator stays at the front of the piece after it.
+    Neighbouring pieces are joined again while they fit; a separator stays at the front of the piece after it. The
+    tokens are found once: those of any part of the text are then two look-ups away.
     """
-    if length(text) <= limit:
-        return [text.strip()] if text.strip() else []
-    at = next(i for i, s in enumerate(separators) if not s or s in text)
-    mark = separators[at]
-    if mark:
-        first, *others = text.split(mark)
-        parts = [p for p in [first, *(mark + o for o in others)] if p]
-    else:
-        parts = list(text)
+    starts, ends = zip(*found) if (found := spans(text)) else ((), ())
     out: list[str] = []
-    held = ""
-    for p in parts:
-        if length(held + p) <= limit:
-            held += p
-            continue
-        if held.strip():
-            out.append(held.strip())
-        held = ""
-        if length(p) <= limit:
-            held = p
-        elif mark:
-            out += split_recursive(p, limit, length, separators[at + 1 :])
+
+    def tokens(a: int, b: int) -> int:
+        return bisect_left(starts, b) - bisect_right(ends, a)
+
+    def keep(a: int, b: int) -> None:
+        if piece := text[a:b].strip():
+            out.append(piece)
+
+    def cut(a: int, b: int, marks: tuple[str, ...]) -> None:
+        if tokens(a, b) <= limit:
+            keep(a, b)
+            return
+        n = next(i for i, m in enumerate(marks) if not m or text.find(m, a, b) >= 0)
+        mark = marks[n]
+        borders = [a]
+        if mark:
+            at = text.find(mark, a, b)
+            while at >= 0:
+                if at > borders[-1]:
+                    borders.append(at)
+                at = text.find(mark, at + len(mark), b)
         else:
-            out.append(p)
-    if held.strip():
-        out.append(held.strip())
+            borders = list(range(a, b))
+        held = a
+        for here, there in zip(borders, [*borders[1:], b]):
+            if tokens(held, there) <= limit:
+                continue
+            keep(held, here)
+            held = here
+            if tokens(here, there) > limit and mark:
+                cut(here, there, marks[n + 1 :])
+                held = there
+        keep(held, b)
+
+    cut(0, len(text), separators)
     return out
 
 
