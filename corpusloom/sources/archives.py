@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.blocks import first_per_key
+
 # Sub-collections of papers, by external id.
 PAPER_SUBSETS = ("arxiv", "acl", "pubmed", "pubmedcentral", "dblp", "mag")
 # Templates that mark a page as a disambiguation, or as none; marks in titles.
@@ -20,39 +16,31 @@ ARTICLE_TEMPLATES = ("about", "for", "for multi", "other people", "other uses of
 TITLE_MARKS = ("disambiguation", "begriffsklärung", "homonymie", "desambiguación")
 
 
-def read_tar_ndjson(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
-    """Lines of the NDJSON members of .tar.gz archives: path, member, line_no, line, and ``record`` parsed with ``schema`` if given.
+def read_tar_ndjson(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of the NDJSON members of .tar.gz archives: path, line, and ``record`` parsed with ``schema`` if given; rejected are path and line.
 
-    A damaged archive or member ends there without failing the job; a line that is no JSON object is left out. Archives are
-    read through Spark, one task each, as streams of lines.
+    Spark's text reader unpacks the stream, so an archive of any size is read line by line with constant memory, one task
+    each. The archive's own headers lie between NUL bytes, which JSON text cannot hold: what stands between them is
+    taken apart, and only what could be a line of a member is looked at. A damaged archive ends there without failing the job; lines that
+    are no JSON object are rejected.
     """
+    raw = spark.read.option("ignoreCorruptFiles", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    held = F.contains("value", F.lit("\x00"))
+    pieces = F.split("value", "\x00+")
+    # the last piece is a member's first line; an object in front of it is the end of the member before, the rest are header fields
+    parts = F.when(held, F.filter(pieces, lambda x, i: x.startswith("{") | (i == F.size(pieces) - 1))).otherwise(F.array("value"))
+    lines = raw.select("path", F.explode(parts).alias("line")).where((F.trim("line") != "") & ~F.regexp_like("line", F.lit(r"^\d+ [\w.]+=")))  # extended headers are such pairs
+    judged = lines.withColumn("__good", F.coalesce(F.regexp_like("line", F.lit(r"^\s*\{")) & F.try_parse_json("line").isNotNull(), F.lit(False)))
+    rows, rejected = judged.where("__good").drop("__good"), judged.where("NOT __good").drop("__good")
+    return (rows.withColumn("record", F.from_json("line", schema)) if schema else rows), rejected
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows: list[tuple] = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                        for member in archive:
-                            source = archive.extractfile(member) if member.isfile() else None
-                            for i, raw in enumerate(source or (), 1):
-                                try:
-                                    line = raw.decode()
-                                    if isinstance(json.loads(line), dict):
-                                        rows.append((path, member.name, i, line.rstrip("\n")))
-                                except ValueError:
-                                    continue
-                                if len(rows) >= 2000:
-                                    yield pd.DataFrame(rows, columns=["path", "member", "line_no", "line"])
-                                    rows = []
-                except (tarfile.TarError, EOFError, OSError):
-                    pass
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "member", "line_no", "line"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    lines = files.mapInPandas(run, "path string, member string, line_no long, line string")
-    return lines.withColumn("record", F.from_json("line", schema)) if schema else lines
+def read_papers(spark: SparkSession, pattern: str, schema: str, subset: str | None = None, limit: int = -1, external_ids: str = "externalids") -> DataFrame:
+    """Paper records of all files that ``pattern`` names, those of one sub-collection if ``subset`` is given, at most ``limit`` of each file; adds path."""
+    rows = spark.read.schema(schema).json(pattern).withColumn("path", F.col("_metadata.file_path"))
+    if subset:
+        rows = rows.where(in_subset(external_ids, [subset]))
+    return limit_per_file(rows, limit, "corpusid")
 
 
 def read_blocks(spark: SparkSession, path: str, schema: str, seen: DataFrame | None = None, id_column: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -70,10 +58,18 @@ def read_blocks(spark: SparkSession, path: str, schema: str, seen: DataFrame | N
     return rows, corrupt
 
 
-def jsonl_to_parquet(spark: SparkSession, folder: str, target: str, schema: str | None = None) -> None:
-    """All JSON Lines files below a folder as one Parquet table."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*")
-    (reader.schema(schema) if schema else reader).json(folder).write.parquet(target)
+def jsonl_to_parquet(spark: SparkSession, folder: str, target: str, schema: str | None = None, pattern: str = "*.jsonl*") -> int:
+    """All JSON Lines files below a folder as one Parquet table; lines that are no JSON go to ``target`` + '.rejected' as text, their number is returned."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    shape = schema or files.option("mode", "DROPMALFORMED").json(folder).schema.simpleString()[len("struct<") : -1]
+    lines = files.text(folder).where(F.trim("value") != "")
+    good = F.regexp_like("value", F.lit(r"^\s*\{")) & F.try_parse_json("value").isNotNull()
+    lines.where(good).select(F.from_json("value", shape).alias("r")).select("r.*").write.parquet(target)
+    bad = lines.where(~F.coalesce(good, F.lit(False)))
+    rejected = bad.count()
+    if rejected:
+        bad.write.text(f"{target}.rejected")
+    return rejected
 
 
 def limit_per_file(rows: DataFrame, n: int, order: str) -> DataFrame:
@@ -100,8 +96,8 @@ class TranslationMap:
         return newest.select(F.col("translation_key").alias("key"), "value")
 
     def append(self, rows: DataFrame) -> None:
-        """Add rows (language, translation_key, translation_value), one for each key of this batch."""
-        one = rows.dropDuplicates(["language", "translation_key"]).withColumn("added", F.current_timestamp())
+        """Add rows (language, translation_key, translation_value), for each key of this batch the smallest value."""
+        one = first_per_key(rows.select("language", "translation_key", "translation_value"), ["language", "translation_key"], ["translation_value"]).withColumn("added", F.current_timestamp())
         one.write.mode("append").partitionBy("language").parquet(self.path, compression="snappy")
 
 
@@ -111,14 +107,20 @@ def in_subset(external_ids: Column | str, subset: list[str] | tuple[str, ...] =
     return F.coalesce(F.exists(F.array(*[F.lit(s) for s in subset]), lambda s: F.coalesce(F.try_element_at(ids, s), F.lit("")) != ""), F.lit(False))
 
 
-def is_disambiguation(templates: Column | str, title: Column | str, wikitext: Column | str) -> Column:
+def template_names(table: DataFrame | None = None, given: tuple[str, ...] = DISAMBIGUATION_TEMPLATES) -> tuple[str, ...]:
+    """The fixed names and those of ``table`` (language, template), in lower case: the union over its languages."""
+    more = [] if table is None else [r["template"].lower() for r in table.select("template").distinct().collect()]  # a list kept by hand
+    return tuple(dict.fromkeys([*given, *sorted(more)]))
+
+
+def is_disambiguation(templates: Column | str, title: Column | str, wikitext: Column | str, listed_templates: tuple[str, ...] = DISAMBIGUATION_TEMPLATES, title_marks: tuple[str, ...] = TITLE_MARKS) -> Column:
     """By template, then by title, then not by an article's template, then by 'may refer to' near the start; cases are ignored."""
     t, name, body = (F.col(x) if isinstance(x, str) else x for x in (templates, title, wikitext))
     names = F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda x: F.lower(F.element_at(F.split(x, ":"), -1)))
     listed = lambda values: F.arrays_overlap(names, F.array(*[F.lit(v) for v in values]))
     return (
-        F.when(listed(DISAMBIGUATION_TEMPLATES), True)
-        .when(F.coalesce(name.rlike(rf"(?i). \(({'|'.join(TITLE_MARKS)})\)$"), F.lit(False)), True)
+        F.when(listed(listed_templates), True)
+        .when(F.coalesce(name.rlike(rf"(?i). \(({'|'.join(title_marks)})\)$"), F.lit(False)), True)
         .when(listed(ARTICLE_TEMPLATES), False)
         .otherwise(F.coalesce(F.left(body, F.lit(100)).rlike(r"(?i). may (also )?refer to\b"), F.lit(False)))
     )

@@ -7,13 +7,18 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import unquote
+from pathlib import PurePosixPath
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import RED_LINK, TRANSLATION_PREFIX
+from corpusloom.functions import text as T
+from corpusloom.functions import values as V
+from corpusloom.functions.text import TRANSLATION_PREFIX
+from corpusloom.operators.sequences import short_translation, translate_two_paths
+from corpusloom.sources.papers import split_recursive, token_spans
 
 # Fixed values of the markup: elements without content, elements that close an open <p>, invisible elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -24,9 +29,30 @@ HEADINGS = {"h1": 0, "h2": 1, "h3": 2, "h4": 3, "h5": 4, "h6": 5}
 DROPPED_CLASSES = {"ambox", "metadata", "vector-page-toolbar", "vector-column-start", "vector-column-end", "vector-body-before-content"}
 DROPPED_IDS = {"p-lang-btn"}
 MATH = "{\\displaystyle"
-BANNED_SECTIONS = frozenset({"References", "External links", "Further reading", "See also", "Notes", "Bibliography", "Sources", "Footnotes", "Citations"})
+# Titles of sections that hold references only, by language; other languages come as a table (``banned_titles``).
+BANNED_TITLES = {
+    "en": ("See also", "References", "External links", "Notes", "Sources", "Categories", "Further reading", "Citations", "Footnotes"),
+    "es": ("Véase también", "Referencias", "Enlaces externos", "Notas", "Fuentes", "Categorías", "Lecturas adicionales", "Notas al pie"),
+    "fr": ("Voir aussi", "Références", "Liens externes", "Notes", "Sources", "Catégories", "Lecture complémentaire", "Notes et références"),
+    "it": ("Vedi anche", "Note", "Riferimenti", "Collegamenti esterni", "Fonti", "Categorie", "Bibliografia", "Altri progetti"),
+    "de": ("Siehe auch", "Einzelnachweise", "Weblinks", "Anmerkungen", "Quellen", "Kategorien", "Literatur", "Fußnoten"),
+}
+IMAGE_SUFFIXES = (".jpg", ".png", ".svg")
+#: Tokens of a block at most, title included: what the embedding model reads.
+MAX_BLOCK_TOKENS = 8192
 
-BLOCK_SCHEMA = "block_no int, section_title string, content string, block_type string"
+
+def banned_titles(table: DataFrame | None = None, languages: tuple[str, ...] | None = None) -> frozenset[str]:
+    """The union of the titles of all languages, or of those named; ``table`` (language, title) adds to the fixed ones."""
+    rows = [(language, title) for language, titles in BANNED_TITLES.items() for title in titles]
+    if table is not None:
+        rows += [(r["language"], r["title"]) for r in table.select("language", "title").distinct().collect()]  # a list kept by hand
+    return frozenset(title for language, title in rows if languages is None or language in languages)
+
+
+BANNED_SECTIONS = banned_titles()
+
+BLOCK_SCHEMA = "block_no int, section_title string, content string, block_type string, num_tokens int"
 
 
 @dataclass
@@ -100,12 +126,23 @@ def parse(page: str) -> Node:
 
 
 def entity_of(url: str) -> str:
-    name = unquote(url).split("/")[-1].replace("_", " ")
-    return name.removesuffix(RED_LINK)
+    """The name behind a link, as ``text.url_to_entity_name`` has it; query and fragment are no part of it."""
+    return PurePosixPath(unquote(urlsplit(url).path)).name.replace("_", " ")
 
 
-def _is_article(href: str) -> bool:
-    return (href.startswith("/wiki/") or href.startswith("./")) and not href.lower().endswith((".jpg", ".png", ".svg"))
+def is_article(href: str) -> bool:
+    """Whether a link leads to another article of the same site."""
+    target = urlsplit(href)
+    path = PurePosixPath(target.path)
+    inside = not target.netloc and (href.startswith("./") or path.parts[:2] == ("/", "wiki"))
+    return inside and path.suffix.lower() not in IMAGE_SUFFIXES
+
+
+def article_links(page: str | None) -> list[str]:
+    """Names of the articles that a page links to, each once, in order."""
+    if not page:
+        return []
+    return list(dict.fromkeys(entity_of(a.attrs["href"]) for a in parse(page).find("a") if is_article(a.attrs.get("href", ""))))
 
 
 def clean(node: Node, title: str = "", translations: Mapping[str, str] | None = None) -> None:
@@ -127,26 +164,29 @@ def clean(node: Node, title: str = "", translations: Mapping[str, str] | None =
             continue
         clean(c, title, translations)
         href = c.attrs.get("href", "")
-        if c.tag == "a" and translations is not None and _is_article(href):
+        if c.tag == "a" and translations is not None and is_article(href):
             name = entity_of(href)
-            english = (translations.get(name) or "").split("(")[0].strip()
-            useful = english and any(ch.isalpha() for ch in english) and english.lower() not in title.lower()
-            kept.append(f"{name} {TRANSLATION_PREFIX}{english})" if useful else name)
+            english = short_translation(translations.get(name), title)
+            kept.append(f"{name} {TRANSLATION_PREFIX}{english})" if english else name)
             continue
         kept.append(c)
     node.children = kept
 
 
+_BREAKS = CLOSES_P | {"li", "tr", "dd", "dt"}
+
+
 def text_of(node: Node | str, skip: frozenset[str] = frozenset()) -> str:
+    """All text below a node, block elements on lines of their own, cells parted by a blank; elements in ``skip`` are left out."""
     if isinstance(node, str):
         return node
     parts = []
     for c in node.children:
-        if isinstance(c, Node) and c.tag in skip:
-            continue
-        parts.append(text_of(c, skip))
-        if isinstance(c, Node) and c.tag in ("li", "p", "div", "tr", "dd", "dt"):
-            parts.append("\n")
+        if isinstance(c, str):
+            parts.append(c)
+        elif c.tag not in skip:
+            gap = "\n" if c.tag in _BREAKS else " " if c.tag in ("td", "th") else ""
+            parts += [gap, text_of(c, skip), gap]
     return "".join(parts)
 
 
@@ -189,30 +229,48 @@ def grid_of(table: Node) -> tuple[list[list[str]], int]:
     return [[r.get(k, "") for k in range(width)] for r in rows], header
 
 
-def linearize(grid: list[list[str]], header_rows: int) -> str | None:
-    """Table as text lines; None under one row or two columns."""
-    body = grid[header_rows:]
-    if not body or len(grid[0]) < 2:
+def column_title(levels: list[str]) -> str:
+    """Header cells from the top down as a path; a cell that repeats the one above it, as spans do, is no level of its own.
+
+    A dot inside a cell is part of its text.
+    """
+    return "> ".join(cell for i, cell in enumerate(levels) if not i or cell != levels[i - 1])
+
+
+def row_text(cells: list[str]) -> str:
+    """A row of one value as that value, a row of a key and one value as both, any other between bars."""
+    key, values = cells[0], set(cells[1:])
+    if values == {key}:
+        return key
+    if len(values) == 1:
+        return f"{key}: {values.pop()}"
+    return f"| {' | '.join(cells)} |"
+
+
+def table_lines(grid: list[list[str]], header_rows: int) -> tuple[list[str], list[str]] | None:
+    """(head, rows) of a table as text; None where it has no row or fewer than two columns.
+
+    The head is a line of titles and a rule. Titles that are all the same are given once. Without header rows
+    columns are numbered; two of them are key and value, and their line of titles stays empty.
+    """
+    rows = grid[header_rows:]
+    if not rows or len(rows[0]) < 2:
         return None
-    width = len(grid[0])
-    names = []
-    for k in range(width):
-        name = ".".join(r[k] for r in grid[:header_rows]) if header_rows else str(k)
-        if "." in name:
-            left, right = name.rsplit(".", 1)
-            name = left.strip() if left.strip() == right.strip() else name.replace(".", "> ", 1)
-        names.append(name)
-    if len(set(names)) == 1:
-        names = names[:1]
-    lines = ["" if names == ["0", "1"] else "| " + " | ".join(names) + " |", "| " + " | ".join(["---"] * width) + " |"]
-    for r in body:
-        if len(set(r)) == 1:
-            lines.append(r[0])
-        elif len(set(r[1:])) == 1:
-            lines.append(f"{r[0]}: {r[1]}")
-        else:
-            lines.append("| " + " | ".join(r) + " |")
-    return "<Table>\n" + "\n".join(lines) + "\n</Table>"
+    columns = list(zip(*grid))
+    titles = [column_title(list(c[:header_rows])) for c in columns] if header_rows else [str(i) for i in range(len(columns))]
+    shown = titles[:1] if len(set(titles)) == 1 else titles
+    line = "" if not header_rows and len(columns) == 2 else f"| {' | '.join(shown)} |"
+    return [line, f"| {' | '.join('---' for _ in columns)} |"], [row_text(r) for r in rows]
+
+
+def table_text(grid: list[list[str]], header_rows: int) -> str | None:
+    """A table as one marked text."""
+    lines = table_lines(grid, header_rows)
+    return None if lines is None else _marked(*lines)
+
+
+def _marked(head: list[str], rows: list[str]) -> str:
+    return "\n".join(["<Table>", *head, *rows, "</Table>"])
 
 
 def table_html(linear: str) -> str:
@@ -297,7 +355,7 @@ class _Walk:
         elif node.tag == "table":
             self.flush()
             kind = "infobox" if "infobox" in node.classes else "table"
-            self.emit(linearize(*grid_of(node)), kind)
+            self.emit(table_text(*grid_of(node)), kind)
         elif node.tag in ("p", "pre", "blockquote"):
             content = text_of(node)
             if any(True for _ in node.find(*_BLOCKS)):
@@ -324,7 +382,7 @@ class _Walk:
             if c.tag in ("ul", "ol", "dl"):
                 self.list(c)
             elif c.tag == "table":
-                linear = linearize(*grid_of(c))
+                linear = table_text(*grid_of(c))
                 if linear:
                     self.flush()
                     self.emit(linear, "infobox" if "infobox" in c.classes else "table")
@@ -337,8 +395,49 @@ class _Walk:
 _BLOCKS = {*HEADINGS, "p", "ul", "ol", "dl", "table", "pre", "blockquote", "div", "section", "article", "main", "body", "nav", "footer", "header", "aside", "html", "figure"}
 
 
+def split_block(content: str, kind: str, limit: int) -> list[str]:
+    """A block's text in pieces of at most ``limit`` tokens: a table by rows, each piece with the head; anything else at the coarsest mark that fits."""
+    n = len(token_spans(content))
+    if n <= limit:
+        return [content]
+    lines = content.split("\n")
+    if not (content.startswith("<Table>\n") and content.endswith("\n</Table>")) or len(lines) < 5:
+        return split_recursive(content, limit)
+    head, rows = lines[1:3], lines[3:-1]
+    room = limit - len(token_spans(_marked(head, [])))
+    out, held, used = [], [], 0
+    for row in rows:
+        size = len(token_spans(row))
+        if room < 1 or size > room:  # not even one row goes with the head
+            return split_recursive(content, limit)
+        if used + size > room:
+            out.append(_marked(head, held))
+            held, used = [], 0
+        held.append(row)
+        used += size
+    return [*out, _marked(head, held)]
+
+
+def fit_blocks(blocks: list[tuple[str, str, str]], title: str = "", limit: int = MAX_BLOCK_TOKENS) -> list[tuple[str, str, str, int]]:
+    """(section title, content, kind, tokens): blocks split to at most ``limit`` tokens, titles included, and neighbours of one section joined while they fit.
+
+    Joined blocks are parted by a line break; of several kinds they are text.
+    """
+    out: list[tuple[str, str, str, int]] = []
+    for section, content, kind in blocks:
+        own = len(token_spans(f"{title} > {section}" if section else title))
+        for piece in split_block(content, kind, max(limit - own, 1)):
+            size = len(token_spans(piece))
+            if out and out[-1][0] == section and out[-1][3] + size <= limit:
+                _, before, its, used = out.pop()
+                out.append((section, f"{before}\n{piece}", its if its == kind else "text", used + size))
+            else:
+                out.append((section, piece, kind, own + size))
+    return out
+
+
 def blocks_of(page: str | None, title: str = "", translations: Mapping[str, str] | None = None, banned: frozenset[str] = BANNED_SECTIONS) -> list[tuple[str, str, str]]:
-    """(section title, content, kind) of a page's blocks in order."""
+    """(section title, content, kind) of a page's elements in order."""
     if not page:
         return []
     root = parse(page)
@@ -378,21 +477,60 @@ def markdown_html(text: str) -> str:
     return "\n".join(out)
 
 
-def html_to_blocks(pages: DataFrame, keys: list[str], html_column: str = "html", title_column: str | None = None, translations: Mapping[str, str] | None = None, banned: frozenset[str] = BANNED_SECTIONS) -> DataFrame:
-    """keys, block_no (from 1), section_title, content, block_type of every page; null and empty pages give no rows.
+def html_to_blocks(pages: DataFrame, keys: list[str], html_column: str = "html", title_column: str | None = None, translations_column: str | None = None, banned: frozenset[str] = BANNED_SECTIONS, limit: int = MAX_BLOCK_TOKENS) -> DataFrame:
+    """keys, block_no (from 1), section_title, content, block_type, num_tokens of every page; null and empty pages give no rows.
 
-    Parsing is per page in Arrow batches, without a shuffle; ``translations`` is a small map sent with the code.
+    Parsing is per page in Arrow batches, without a shuffle. ``translations_column`` is a map<string,string> of the
+    page's own links (``with_translations``); translations are then marked, each where it comes first in a block.
     """
-    names = keys + ([title_column] if title_column and title_column not in keys else [])
+    names = [*keys, *(c for c in (title_column, translations_column) if c and c not in keys)]
     schema = ", ".join([*(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys), BLOCK_SCHEMA])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                title = getattr(r, title_column, "") if title_column else ""
-                for i, (section, content, kind) in enumerate(blocks_of(r[len(names)], title or "", translations, banned), 1):
-                    rows.append((*r[: len(keys)], i, section, content, kind))
-            yield pd.DataFrame(rows, columns=[*keys, "block_no", "section_title", "content", "block_type"])
+                title = (r[names.index(title_column)] if title_column else "") or ""
+                known = dict(r[names.index(translations_column)] or {}) if translations_column else None
+                found = blocks_of(r[len(names)], title, known, banned)
+                if translations_column:
+                    marked = [(T.keep_first_translations([title, section, content])[1:], kind) for section, content, kind in found]
+                    found = [(section, content, kind) for (section, content), kind in marked]
+                for i, block in enumerate(fit_blocks(found, title, limit), 1):
+                    rows.append((*r[: len(keys)], i, *block))
+            yield pd.DataFrame(rows, columns=[*keys, "block_no", "section_title", "content", "block_type", "num_tokens"])
 
     return pages.select(*names, F.col(html_column).alias("__html")).mapInPandas(run, schema)
+
+
+def with_translations(pages: DataFrame, key: str, translations: DataFrame, redirects: DataFrame, html_column: str = "html") -> DataFrame:
+    """Adds translations: map<string,string> of the page's links that have one, by their own name or their redirect's root.
+
+    Links are joined to the map by shuffle, so the map may be of any size; only a page's own entries travel with it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, name) for k, page in zip(pdf[key], pdf["__html"]) for name in article_links(page)], columns=[key, "entity"])
+
+    links = pages.select(key, F.col(html_column).alias("__html")).mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, entity string")
+    named = translate_two_paths(links, translations, redirects).where("translation IS NOT NULL").dropDuplicates([key, "entity"])
+    maps = named.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "translation"))).alias("translations"))
+    return pages.join(maps, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
+def article_blocks(articles: DataFrame, language: Column | str, translations: DataFrame | None = None, redirects: DataFrame | None = None, banned: frozenset[str] = BANNED_SECTIONS, limit: int = MAX_BLOCK_TOKENS) -> DataFrame:
+    """Whole blocks of articles (name, url, date_modified, html): the block model's columns, block_type and language.
+
+    Articles without a body give nothing. With ``translations`` (key, value) and ``redirects`` (node, root) links are
+    marked with their English names. Tokens are counted after that; a date that cannot be read is null.
+    """
+    rows = articles.where("html IS NOT NULL").select("name", "url", "date_modified", "html")
+    if translations is not None:
+        rows = with_translations(rows, "name", translations, redirects if redirects is not None else rows.sparkSession.createDataFrame([], "node string, root string"))
+    found = html_to_blocks(rows, ["name", "url", "date_modified"], "html", "name", "translations" if translations is not None else None, banned, limit)
+    spoken = language if isinstance(language, Column) else F.lit(language)
+    return found.select(
+        F.col("name").alias("document_title"), "block_no", "section_title", "content", "block_type", "num_tokens", spoken.alias("language"),
+        T.block_url("url", "section_title", spoken).alias("url"), V.parse_edit_date("date_modified").alias("last_edit_date"),
+    )
