@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators.blocks import near_dedup_ordered
+from corpusloom.operators.ordering import with_global_index
 from corpusloom.plans.runtime import materialize
 
 
@@ -62,7 +64,7 @@ def run_turns(turns: DataFrame, search: Callable[[DataFrame, int], DataFrame], h
 
     both = branch("search_query", 0, config.query_post).unionByName(branch("llm_claims", 1, config.claim_post))
     order = Window.partitionBy("dialogue_id").orderBy("branch", "i", "rank")
-    both = both.withColumn("place", F.row_number().over(order)).withColumn("tokens", F.regexp_extract_all(F.lower("content"), F.lit(r"\w+"), 0))
+    both = both.withColumn("place", F.row_number().over(order)).withColumn("tokens", T.words("content"))
     kept = near_dedup_ordered(both, ["dialogue_id"], "place", "tokens").join(turns.select("dialogue_id", "utterance"), "dialogue_id")
     kept = kept.withColumn("summary", T.lines_to_list(hooks.summary(F.col("utterance"), F.col("content")))).where("size(summary) > 0")
     reference = F.struct("place", "title", "url", "content", "summary")
@@ -91,21 +93,66 @@ def first_sentence(passage: Column | str) -> Column:
     return F.regexp_extract(c, r"(?s)^\s*(.*?(?:[.!?](?=\s|$)|$))", 1)
 
 
+# What a simulated user is told about, by mode, and how many dialogues are simulated together.
+MODES = {"topic": ("topic",), "passage": ("title", "passage"), "multihop": ("title_1", "paragraph_1", "title_2", "paragraph_2")}
+BATCH = 10
+
+
+def simulation_inputs(rows: DataFrame, mode: str) -> DataFrame:
+    """(dialogue_id, topic, prompt) of a mode's inputs; a passage is cut to its first sentence, two paragraphs are one topic."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {sorted(MODES)}")
+    missing = [c for c in MODES[mode] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"mode {mode!r} needs columns {missing}")
+    said = F.concat_ws
+    topic, prompt = {
+        "topic": lambda: (F.col("topic"), F.col("topic")),
+        "passage": lambda: (F.col("title"), said("\n", "title", first_sentence("passage"))),
+        "multihop": lambda: (said(" and ", "title_1", "title_2"), said("\n", "title_1", "paragraph_1", "title_2", "paragraph_2")),
+    }[mode]()
+    return rows.select("dialogue_id", topic.alias("topic"), prompt.alias("prompt"))
+
+
 def simulate(topics: DataFrame, user: Callable[[Column, Column], Column], agent: Callable[[DataFrame], DataFrame], turns: int) -> DataFrame:
-    """Whole dialogues about ``topics`` (dialogue_id, topic): dialogue_id, turn_id, user_utterance, agent_utterance.
+    """Whole dialogues about ``topics`` (dialogue_id, topic, and prompt if the user is told more): dialogue_id, turn_id, user_utterance, agent_utterance.
 
-    ``user`` maps history and topic to an utterance; ``agent`` maps (dialogue_id, history, utterance) to
+    ``user`` maps history and prompt to an utterance; ``agent`` maps (dialogue_id, history, utterance) to
     (dialogue_id, agent_utterance). All dialogues take each turn together; one whose user says nothing ends.
     """
-    state = topics.select("dialogue_id", "topic", F.lit("").alias("history"))
+    state = topics.select("dialogue_id", F.col("prompt" if "prompt" in topics.columns else "topic").alias("prompt"), F.lit("").alias("history"))
     done = None
     for turn in range(turns):
-        said = T.remove_prefix(user(F.col("history"), F.col("topic")))
+        said = T.remove_prefix(user(F.col("history"), F.col("prompt")))
         state = state.withColumn("utterance", said).where(F.coalesce("utterance", F.lit("")) != "")
         answered = agent(state.select("dialogue_id", "history", "utterance")).select("dialogue_id", "agent_utterance")
         state = materialize(state.join(answered, "dialogue_id"), "simulated-turn")
         rows = state.select("dialogue_id", F.lit(turn).alias("turn_id"), F.col("utterance").alias("user_utterance"), "agent_utterance")
         done = rows if done is None else done.unionByName(rows)
         line = F.concat(F.lit("User: "), "utterance", F.lit("\nChatbot: "), "agent_utterance", F.lit("\n"))
-        state = state.select("dialogue_id", "topic", F.concat("history", line).alias("history"))
+        state = state.select("dialogue_id", "prompt", F.concat("history", line).alias("history"))
     return done
+
+
+def simulate_batches(topics: DataFrame, user: Callable[[Column, Column], Column], agent: Callable[[DataFrame], DataFrame], turns: int, batch: int = BATCH) -> DataFrame:
+    """As ``simulate``, with at most ``batch`` dialogues in the agent's hands at a time, for agents that call paced services."""
+    numbered = materialize(with_global_index(topics, [F.col("dialogue_id")], "__n"), "simulated-topics")
+    parts = [simulate(numbered.where(F.col("__n").between(at, at + batch - 1)).drop("__n"), user, agent, turns) for at in range(0, numbered.count(), batch)]
+    return reduce(DataFrame.unionByName, parts) if parts else simulate(numbered.drop("__n"), user, agent, turns)
+
+
+def dialogue_text(turns: DataFrame, topics: DataFrame) -> DataFrame:
+    """(dialogue_id, text): one dialogue as text under its topic, ended by a rule; what an export of dialogues writes. Dialogues without turns are left out."""
+    line = F.concat(F.lit("User: "), F.coalesce("user_utterance", F.lit("")), F.lit("\nChatbot: "), F.coalesce("agent_utterance", F.lit("")), F.lit("\n\n"))
+    said = turns.groupBy("dialogue_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", line.alias("line")))), lambda x: x["line"]), "").alias("said"))
+    return topics.join(said, "dialogue_id").select("dialogue_id", F.concat(F.lit("Topic: "), T.strip("topic"), F.lit("\n"), "said", F.lit("=====\n")).alias("text"))
+
+
+def export_topics(topics: DataFrame, path: str) -> None:
+    """Topics as JSON Lines, an object each."""
+    topics.write.mode("overwrite").json(path)
+
+
+def export_dialogues(turns: DataFrame, topics: DataFrame, path: str) -> None:
+    """Dialogues as text files, see ``dialogue_text``."""
+    dialogue_text(turns, topics).select("text").write.mode("overwrite").text(path)

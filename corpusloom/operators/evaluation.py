@@ -32,13 +32,18 @@ def verification_label(output: Column) -> Column:
     return F.when(supports, "SUPPORTS").when(low.contains(UNKNOWN_PHRASE), "NOT ENOUGH INFO").otherwise("REFUTES")
 
 
+def all_supported(claims: DataFrame, group: str, label: str = "label") -> DataFrame:
+    """(group, verified): whether every claim of a group is labelled as supported; a null label is not."""
+    return claims.groupBy(group).agg(F.bool_and(F.coalesce(F.col(label) == "SUPPORTS", F.lit(False))).alias("verified"))
+
+
 def refinement(output: Column) -> Column:
     """struct<scores array<int>, text>: four or five criteria lines' scores (100 where not applicable), and the revised text."""
     mark = "|".join(REVISED_MARKS)
     parts = F.split(output, mark, 2)
     lines = F.split(strip(F.element_at(F.split(F.get(parts, F.lit(0)), "User:"), 1)), "\n")
     last = lambda s: F.element_at(F.split(strip(s), " "), -1)
-    score = lambda s: F.when((last(s) == "N/A") | s.contains("this criterion is not applicable"), 100).otherwise(F.coalesce(F.expr("null").cast("int"), F.element_at(F.split(last(s), "/"), 1).try_cast("int"), F.lit(100)))
+    score = lambda s: F.when((last(s) == "N/A") | s.contains("this criterion is not applicable"), 100).otherwise(F.coalesce(F.element_at(F.split(last(s), "/"), 1).try_cast("int"), F.lit(100)))
     scores = F.when(F.size(lines).between(4, 5), F.transform(lines, score)).otherwise(F.array().cast("array<int>"))
     return F.struct(scores.alias("scores"), strip(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("text"))
 

@@ -7,18 +7,20 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from corpusloom.functions import text as T
+from corpusloom.functions import values as V
+
 # Window and step of listwise reranking.
 WINDOW_SIZE, WINDOW_STEP = 20, 10
 
 
 def lexical_score(query: Column | str, content: Column | str) -> Column:
-    """Share of the query's distinct lower-case words found in the text: the deterministic stand-in for a model's score."""
-    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\w+"), 0))
-    q = words(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(content))) / F.size(q)).otherwise(F.lit(0.0))
+    """Share of the query's distinct lower-case words, in any script, found in the text: the deterministic stand-in for a model's score."""
+    q = F.array_distinct(T.words(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.words(content))) / F.size(q)).otherwise(F.lit(0.0))
 
 
 def rerank_pointwise(results: DataFrame, score: Column, group: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -63,10 +65,38 @@ def parse_ranking(text: Column | str) -> Column:
     return F.array_distinct(F.filter(numbers, lambda i: i >= 0))
 
 
+def rerank_batches(results: DataFrame, score: Callable[[pd.DataFrame], pd.Series], group: str = "query_id", rank: str = "rank") -> DataFrame:
+    """As ``rerank_pointwise`` with a model that scores a frame of rows (query, content and all other columns) at a time.
+
+    Rows stay where they are while they are scored, in Arrow batches of several queries; only scores decide about the one exchange by query.
+    """
+    columns = results.columns
+
+    def run(batches):
+        for rows in batches:
+            yield rows.assign(__score=score(rows).to_numpy(dtype=float))[[*columns, "__score"]]
+
+    scored = results.mapInPandas(run, StructType([*results.schema.fields, StructField("__score", DoubleType())]))
+    return rerank_pointwise(scored, F.col("__score"), group, rank).drop("__score")
+
+
+def compare_rerankers(found: DataFrame, relevant: DataFrame, rerankers: dict[str, Callable[[DataFrame], DataFrame]], ks: tuple[int, ...] = (10,), id_column: str = "vec_id") -> DataFrame:
+    """(reranker, k, queries, ndcg, average_precision, recall, precision): means over queries before ('none') and after each reranker."""
+    out = None
+    for name, rerank in {"none": lambda x: x, **rerankers}.items():
+        ranked = rerank(found)
+        for k in ks:
+            metrics = ranking_metrics(ranked, relevant, k, id_column)
+            means = metrics.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in metrics.columns[1:]])
+            one = means.select(F.lit(name).alias("reranker"), F.lit(k).alias("k"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def list_scores(ranked: Column | str) -> Column:
     """1 - i/n for the i-th of a ranked array."""
     c = F.col(ranked) if isinstance(ranked, str) else ranked
-    return F.transform(c, lambda x, i: 1 - i / F.size(c))
+    return F.transform(c, lambda x, i: V.list_score(i, F.size(c)))
 
 
 def ranking_metrics(results: DataFrame, relevant: DataFrame, k: int, id_column: str = "vec_id") -> DataFrame:
@@ -89,13 +119,17 @@ def ranking_metrics(results: DataFrame, relevant: DataFrame, k: int, id_column:
     )
 
 
-def _longest_common(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, bit by bit: a word of ``a`` updates all of ``b`` in a few operations on one long number."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    free = whole
     for x in a:
-        before = 0
-        for j, y in enumerate(b):
-            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        used = free & at.get(x, 0)
+        free = (free + used | free - used) & whole
+    return len(b) - free.bit_count()
 
 
 @F.pandas_udf(DoubleType())
@@ -105,7 +139,7 @@ def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
 
     def one(r: str | None, c: str | None) -> float:
         x, y = (re.findall(r"[a-z0-9]+", (s or "").lower()) for s in (r, c))
-        n = _longest_common(x, y)
+        n = longest_common(x, y)
         return 2 * n / (len(x) + len(y)) if n else 0.0
 
-    return pd.Series([one(r, c) for r, c in zip(reference, candidate)])
+    return pd.Series([one(r, c) for r, c in zip(reference, candidate)], dtype=float)
