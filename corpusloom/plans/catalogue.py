@@ -12,11 +12,14 @@ from corpusloom.functions import text as T
 from corpusloom.functions import values as V
 from corpusloom.operators import blocks as B
 from corpusloom.operators import dialogue as D
+from corpusloom.operators import evaluation as E
 from corpusloom.operators import graph as G
+from corpusloom.operators import ordering as O
+from corpusloom.operators import registry as RG
 from corpusloom.operators import rerank as RR
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import sequences as S
-from corpusloom.plans.runtime import read, ship
+from corpusloom.plans.runtime import read, scratch, ship, spread
 from corpusloom.sources import archives as A
 from corpusloom.sources import html as H
 from corpusloom.sources import papers as P
@@ -37,13 +40,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The request: vectors 0 to n-1."""
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries: every vector whose id is divisible by 100."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 _KNN = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, e.vec_id, label, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS sim FROM q, embeddings e WHERE {where}),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= {k})
 """
@@ -76,7 +79,7 @@ def knn_filter_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS sim,
   len(list_filter(list_zip(qv, embedding), lambda z: (z[1] > 0) <> (z[2] > 0))) AS dist FROM q, embeddings),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS n FROM s QUALIFY n <= 30)
@@ -88,7 +91,7 @@ def knn_quantized_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS sim,
   len(list_filter(list_zip(qv, embedding), lambda z: (z[1] > 0) <> (z[2] > 0))) AS dist FROM q, embeddings WHERE query_id <> vec_id),
 e AS (SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10),
@@ -125,7 +128,7 @@ def score_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_KNN.format(where="e.vec_id <> query_id", k=10) + """,
-rel AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20),
+rel AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
 n AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1),
 h AS (SELECT t.query_id, rank, row_number() OVER (PARTITION BY t.query_id ORDER BY rank) AS seen FROM t JOIN rel USING (query_id, vec_id)),
 g AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg, sum(seen / rank::DOUBLE) AS ps, count(*) AS hits FROM h GROUP BY 1)
@@ -135,7 +138,7 @@ def ndcg_map_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking metrics at 10; vectors of the query's label are relevant."""
     vectors = read(spark, sf_dir, "embeddings")
     found = R.knn(_queries(spark, sf_dir), vectors, 10, exclude_self=True)
-    own = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    own = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = vectors.select("vec_id", "label").join(F.broadcast(own), "label").where("vec_id <> query_id").select("query_id", "vec_id")
     m = RR.ranking_metrics(found, relevant, 10)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
@@ -234,12 +237,13 @@ def exact_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("digest").agg(F.min_by("row", "row.doc_id").alias("row")).select("row.*")
 
 
-@query("SELECT doc_id, source, text[1:20] AS title FROM documents WHERE text IS NOT NULL QUALIFY source = min(source) OVER (PARTITION BY text[1:20])")
+@query("""
+WITH t AS (SELECT doc_id, source, regexp_extract(text, '^[^\n]*') AS title FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, source, length(title) AS title_length FROM t QUALIFY source = min(source) OVER (PARTITION BY title)""")
 def title_dedup_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of a title's first file; later files' rows of that title go."""
-    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.substring("text", 1, 20).alias("title"))
-    first = d.groupBy("title").agg(F.min("source").alias("source"))
-    return d.join(first, ["title", "source"], "left_semi").select("doc_id", "source", "title")
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", F.regexp_extract("text", r"^[^\n]*", 0).alias("title"))
+    return S.first_file_wins(d, "title", "source").select("doc_id", "source", F.length("title").cast("long").alias("title_length"))
 
 
 @query("""
@@ -258,13 +262,13 @@ def translation_two_path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def untranslated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the cache (labels) does not have."""
-    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return S.uncached(read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def root_articles_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are roots."""
-    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+    return S.keep_roots(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
 
 
 @query("""
@@ -279,18 +283,48 @@ def redirect_forest_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT o_orderkey AS u, o_custkey + 10000000 AS v FROM orders WHERE o_orderkey % 5 = 0)
-SELECT v - 10000000 AS customer, count(*) AS orders, min(u) AS component FROM e GROUP BY v""")
+SELECT o_custkey AS customer, count(*) AS orders, min(o_orderkey) AS component FROM orders GROUP BY 1""")
 def bipartite_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of orders and customers: each customer's smallest order."""
     # even nodes are orders, odd ones customers
-    e = read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") * 2).alias("u"), (F.col("o_custkey") * 2 + 1).alias("v"))
+    e = read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("u"), (F.col("o_custkey") * 2 + 1).alias("v"))
     found = G.connected_components(e, "u", "v").withColumn("leaf", F.col("node") % 2 == 0).withColumn("key", F.expr("node div 2"))
     of = found.where("NOT leaf").select(F.col("component").alias("__c"), F.col("key").alias("customer"))
     orders = found.where("leaf").groupBy("component").agg(F.count("*").alias("orders"), F.min("key").alias("smallest"))
     return of.join(orders, F.col("__c") == F.col("component")).select("customer", "orders", F.col("smallest").alias("component"))
 
 
+_CHAINS = """
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey - p_size AS dst FROM part WHERE p_partkey > p_size),
+m AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey <= p_size UNION ALL SELECT root, src FROM m JOIN e ON e.dst = m.node)
+"""
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part points ``p_size`` places back: long chains and branches."""
+    part = read(spark, sf_dir, "part")
+    return part.where("p_partkey > p_size").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_size")).alias("dst"))
+
+
+@query(_CHAINS + "SELECT node, min(root) AS component FROM m WHERE node IN (SELECT src FROM e UNION SELECT dst FROM e) GROUP BY 1")
+def component_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of long chains."""
+    return G.connected_components(_chains(spark, sf_dir))
+
+
+@query(_CHAINS + "SELECT node, min(root) AS root FROM m GROUP BY 1")
+def redirect_chain_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of every node of long chains."""
+    return G.root_of(G.forest_members(_chains(spark, sf_dir), read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), node="node"))
+
+
+@query("SELECT p_size AS target, count(DISTINCT p_name) AS n, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS sources FROM part GROUP BY 1")
+def redirect_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names that redirect to a target."""
+    sets = G.redirect_sets(read(spark, sf_dir, "part"), "p_name", "p_size")
+    return sets.select("target", "n", F.array_join("sources", "|").alias("sources"))
+
+
 # ---- sequences
 
 
@@ -333,13 +367,22 @@ def section_text_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT unnest(range(0, 101, 5))::INT AS percent), d AS (SELECT list_sort(list(n_chars::DOUBLE)) AS v FROM documents WHERE n_chars IS NOT NULL), p AS (SELECT percent, v, percent / 100.0::DOUBLE * (len(v) - 1) AS pos FROM x, d)
+WITH x AS (SELECT unnest(range(0, 101, 5))::DOUBLE AS percent), d AS (SELECT list_sort(list(n_chars::DOUBLE)) AS v FROM documents WHERE n_chars IS NOT NULL), p AS (SELECT percent, v, percent / 100.0::DOUBLE * (len(v) - 1) AS pos FROM x, d)
 SELECT percent, round(v[floor(pos)::INT + 1] + (pos - floor(pos)) * (v[ceil(pos)::INT + 1] - v[floor(pos)::INT + 1]), 4) AS value FROM p""")
 def token_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth percentile of text lengths."""
     return S.percentiles(read(spark, sf_dir, "documents"), "n_chars").withColumn("value", F.round("value", 4))
 
 
+@query("""
+WITH d AS (SELECT n_chars AS v FROM documents WHERE n_chars IS NOT NULL), e AS (SELECT [0, 10, 10, 100, 1000, 10000, 100000, 1000000] AS e),
+i AS (SELECT unnest(range(7))::INT AS bucket), c AS (SELECT least(len(list_filter(e, lambda x: x <= v)) - 1, 6)::INT AS bucket, count(*) AS n FROM d, e WHERE v BETWEEN 0 AND 1000000 GROUP BY 1)
+SELECT bucket, e[bucket + 1]::DOUBLE AS low, e[bucket + 2]::DOUBLE AS high, coalesce(n, 0) AS n FROM i JOIN e ON true LEFT JOIN c USING (bucket)""")
+def token_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lengths between given edges."""
+    return S.bucket_counts(read(spark, sf_dir, "documents"), "n_chars", [0, 10, 10, 100, 1000, 10_000, 100_000, 1_000_000])
+
+
 @query("""
 WITH b AS (SELECT least(floor((ln(greatest(n_chars, 1)) - ln(1)) / ((ln(100000) - ln(1)) / 50)), 49)::INT AS bin, n_chars FROM documents)
 SELECT bin, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT sum(n_chars) FROM documents), 9) AS share FROM b GROUP BY 1""")
@@ -390,7 +433,7 @@ def repeat_topics_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1")
 def first_block_per_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first block of each title."""
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))
+    return B.first_per_key(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
 
 
 @query("""
@@ -424,20 +467,30 @@ def citation_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.alias("shifted"), F.array_join(kept, ",").alias("kept"))
 
 
-@query("""
-WITH t AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE doc_id < 200)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 9) AS jaccard FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) + len(b.w) > 0""")
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, doc_id // 20 AS k, list_distinct({_WORDS}) AS w FROM documents)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 9) AS jaccard FROM t a JOIN t b ON a.k = b.k AND a.doc_id < b.doc_id WHERE len(a.w) + len(b.w) > 0""")
 def pairwise_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity within result lists: the first 200 documents as one request's results, by source."""
-    t = read(spark, sf_dir, "documents").where("doc_id < 200").select("source", "doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
-    a, b = t.select("source", F.col("doc_id").alias("a"), F.col("w").alias("wa")), t.select("source", F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, "source").where("a < b AND size(wa) + size(wb) > 0").select("a", "b", F.round(V.jaccard("wa", "wb"), 9).alias("jaccard"))
+    """Similarity within result lists of twenty: all documents, list by list."""
+    t = read(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("k"), "doc_id", F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias("w"))
+    a, b = t.select("k", F.col("doc_id").alias("a"), F.col("w").alias("wa")), t.select("k", F.col("doc_id").alias("b"), F.col("w").alias("wb"))
+    return a.join(b, "k").where("a < b AND size(wa) + size(wb) > 0").select("a", "b", F.round(V.jaccard("wa", "wb"), 9).alias("jaccard"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT doc_id, doc_id // 20 AS list, list_distinct({_WORDS}) AS w FROM documents),
+j AS (SELECT a.list, a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.list = b.list AND a.doc_id < b.doc_id
+  WHERE len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w))) AND len(a.w) + len(b.w) > 0),
+f AS (SELECT list, list_sort(list(doc_id)) AS ids FROM t GROUP BY 1),
+g AS (SELECT list, 1 AS i, []::BIGINT[] AS kept FROM f
+  UNION ALL SELECT g.list, i + 1, CASE WHEN EXISTS (SELECT 1 FROM j WHERE j.list = g.list AND j.b = f.ids[i] AND list_contains(g.kept, j.a)) THEN kept ELSE list_append(kept, f.ids[i]) END FROM g JOIN f ON f.list = g.list WHERE i <= len(f.ids))
+SELECT g.list, unnest(kept) AS doc_id FROM g JOIN f ON f.list = g.list WHERE i = len(f.ids) + 1""")
 def near_dup_greedy_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered greedy near-duplicate removal inside result lists of twenty."""
-    d = read(spark, sf_dir, "documents").withColumn("list", F.expr("doc_id div 20")).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), 0))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr("doc_id div 20").alias("list"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
     return B.near_dedup_ordered(d, ["list"], "doc_id", "tokens").select("list", "doc_id")
 
 
@@ -453,25 +506,24 @@ def yes_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LISTS = """
-l AS (SELECT item_id AS query_id, b.text AS query, d.doc_id, d.text AS content, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE item_id < 40 QUALIFY rank <= 25)"""
+l AS (SELECT item_id AS query_id, b.text AS query, d.doc_id, d.text AS content, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id)"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 40).alias("k"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), (F.col("doc_id") % 40).alias("k"))
-    order = Window.partitionBy("query_id").orderBy("doc_id")
-    return d.join(F.broadcast(b), "k").drop("k").withColumn("rank", F.row_number().over(order)).where("rank <= 25")
+    """A result list for every benchmark item; every document is in one of them."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    items = b.agg(F.max("query_id") + 1).first()[0] or 1
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), (F.col("doc_id") % items).alias("query_id"))
+    return d.join(b, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
 
 
 @query(f"""
-WITH {_LISTS}, w AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS q, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS c FROM l),
+WITH {_LISTS}, w AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS q, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS c FROM l),
 s AS (SELECT query_id, doc_id, rank, CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q)::DOUBLE ELSE 0 END AS score FROM w)
 SELECT * FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM s) WHERE rank <= 5""")
 def rerank_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lists by a lexical score, the best five."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0))
-    score = F.when(F.size(words("query")) > 0, F.size(F.array_intersect(words("query"), words("content"))) / F.size(words("query"))).otherwise(0.0)
-    return RR.rerank_pointwise(_lists(spark, sf_dir), score).where("rank <= 5").select("query_id", "doc_id", F.round("rerank_score", 9).alias("score"), "rank")
+    return RR.rerank_pointwise(_lists(spark, sf_dir), RR.lexical_score("query", F.coalesce("content", F.lit("")))).where("rank <= 5").select("query_id", "doc_id", F.round("rerank_score", 9).alias("score"), "rank")
 
 
 @query()
@@ -481,10 +533,7 @@ def rerank_listwise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     def choose(rows):
         return [int(i) for i in rows["size"].to_numpy().argsort(kind="stable")[::-1]]
 
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"), (F.col("doc_id") % 40).alias("k"))
-    order = Window.partitionBy("query_id").orderBy("doc_id")
-    lists = d.join(F.broadcast(b), "k").drop("k").withColumn("rank", F.row_number().over(order))
+    lists = _lists(spark, sf_dir).select("query_id", "doc_id", F.coalesce(F.length("content"), F.lit(0)).alias("size"), "rank")
     return RR.rerank_listwise(lists, choose).select("query_id", "doc_id", "rank")
 
 
@@ -502,8 +551,8 @@ SELECT prompt, round(v, 6) AS mean_length, coalesce(n, 0) AS n FROM p LEFT JOIN
 def label_metrics_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric's mean by prompt; prompts without examples are reported."""
     prompts = spark.createDataFrame([("user",), ("assistant",), ("system",), ("refine",)], "prompt string")
-    m = read(spark, sf_dir, "conversations").groupBy(F.col("role").alias("prompt")).agg(F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.count("*").alias("n"))
-    return prompts.join(m, "prompt", "left").select("prompt", "mean_length", F.coalesce("n", F.lit(0)).alias("n"))
+    outputs = read(spark, sf_dir, "conversations").select(F.col("role").alias("prompt"), F.col("text").alias("prediction"), F.col("text").alias("gold"))
+    return E.means_by_prompt(outputs, prompts, {"mean_length": lambda p, _: F.length(p)}).select("prompt", F.round("mean_length", 6).alias("mean_length"), "n")
 
 
 # ---- HTML and text
@@ -512,7 +561,7 @@ def label_metrics_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as blocks."""
-    return H.html_to_blocks(read(spark, sf_dir, "pages"), ["page_id"])
+    return H.html_to_blocks(spread(read(spark, sf_dir, "pages").select("page_id", "html")), ["page_id"])
 
 
 @query("""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS links, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS headings FROM pages""")
@@ -525,14 +574,19 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recursive_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in pieces of at most 600 tokens."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.split_text("text")).alias("piece", "content"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(P.split_text("text")).alias("piece", "content"))
     return d.select("doc_id", "piece", F.length("content").alias("characters"), T.count_tokens("content").alias("tokens"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, line, len(regexp_extract_all(line, '{T}')) AS own, len(regexp_extract_all(coalesce(source, '') || ' ' || line, '{T}')) AS whole
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) WHERE line <> ''),
+f AS (SELECT doc_id, k, 0 AS pack, whole AS tokens, length(line) AS characters FROM l WHERE k = 1
+  UNION ALL SELECT l.doc_id, l.k, CASE WHEN tokens + own < 120 THEN pack ELSE pack + 1 END, CASE WHEN tokens + own < 120 THEN tokens + own ELSE whole END, CASE WHEN tokens + own < 120 THEN characters + 1 + length(line) ELSE length(line) END FROM f JOIN l ON l.doc_id = f.doc_id AND l.k = f.k + 1)
+SELECT doc_id, pack::INT AS pack, max(tokens)::INT AS num_tokens, max(characters)::INT AS characters FROM f GROUP BY 1, 2""".replace("{T}", T.TOKEN))
 def greedy_pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents packed to under 120 tokens."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "content")).where("content <> ''")
+    lines = read(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "content")).where("content <> ''")
     lines = lines.select("doc_id", F.col("source").alias("document_title"), F.lit("").alias("section_title"), "line", "content")
     packed = B.pack_blocks(lines, 120, ["doc_id"], "line")
     return packed.select("doc_id", "pack", "num_tokens", F.length("content").alias("characters"))
@@ -549,14 +603,17 @@ def json_props_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, 'Ein Ort (in English: A place (old)) und Ort (in English: A place (old)) hier' AS s FROM documents)
-SELECT doc_id, 1::BIGINT AS distinct_translations, '(in English: A place (old))' AS first, replace(s, ' und Ort (in English: A place (old))', ' und Ort') AS deduplicated FROM t""")
+WITH d AS (SELECT doc_id, coalesce(source, '?') AS a, coalesce(lang, '?') || ' (' || doc_id || ')' AS b FROM documents)
+SELECT doc_id, 2::BIGINT AS distinct_translations, 'X (in English: ' || a || ')' AS title, 'Y (in English: ' || b || ') > X' AS section, 'Z, X' || repeat(', X', 2) || ' (in English: ' || doc_id || ')' AS content FROM d""")
 def translation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced translation marks, kept where they come first."""
-    s = F.lit("Ein Ort (in English: A place (old)) und Ort (in English: A place (old)) hier")
-    d = read(spark, sf_dir, "documents").select("doc_id", s.alias("s")).withColumn("t", T.english_translations("s"))
-    first = F.get("t", F.lit(0))
-    return d.select("doc_id", F.size(F.array_distinct("t")).cast("long").alias("distinct_translations"), first.alias("first"), T.replace_except_first("s", F.concat(F.lit(" "), first), "").alias("deduplicated"))
+    """Balanced translation marks of title, section and content, kept where they come first."""
+    a, b = F.coalesce("source", F.lit("?")), F.concat(F.coalesce("lang", F.lit("?")), F.lit(" ("), "doc_id", F.lit(")"))
+    mark = lambda name, x: F.concat(F.lit(f"{name} (in English: "), x, F.lit(")"))
+    section = F.concat_ws(" > ", mark("Y", b), mark("X", a))
+    content = F.concat_ws(", ", mark("Z", b), mark("X", a), mark("X", a), mark("X", F.col("doc_id").cast("string")))
+    d = read(spark, sf_dir, "documents").select("doc_id", mark("X", a).alias("t"), section.alias("s"), content.alias("c"))
+    once = d.withColumn("__d", T.deduplicate_translations("t", "s", "c"))
+    return once.select("doc_id", F.size(F.array_distinct(T.english_translations("s"))).cast("long").alias("distinct_translations"), F.col("__d.document_title").alias("title"), F.col("__d.section_title").alias("section"), F.col("__d.content").alias("content"))
 
 
 @query("""
@@ -576,6 +633,238 @@ def edit_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "orders").withColumn("t", V.parse_edit_date(F.date_format("o_orderdate", "yyyy-M-d'T'HH:mm:ss'Z'")))
     return d.select("o_orderkey", V.iso_date("t").alias("iso"), V.human_date("t").alias("human"), V.modified_since(F.col("t"), "1996-06-01").alias("recent"))
 
+# ---- stores, embeddings, views of results
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS word FROM documents),
+h AS (SELECT doc_id, ('0x' || md5(word)[1:7])::BIGINT % 64 AS place, 1 - 2 * (('0x' || md5(word)[8:8])::INT & 1) AS s FROM w),
+g AS (SELECT doc_id, place, sum(s) AS v FROM h GROUP BY 1, 2 HAVING sum(s) <> 0),
+n AS (SELECT doc_id, count(*) AS filled, sum(abs(v)) / sqrt(sum(v * v)) AS weight FROM g GROUP BY 1)
+SELECT doc_id, coalesce(filled, 0)::INT AS filled, round(coalesce(weight, 0), 6) AS weight FROM documents LEFT JOIN n USING (doc_id)""")
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as vectors of hashed words: places filled, and the sum of their sizes at length one."""
+    asked = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+    found = RG.embed_queries(asked, RG.HashedWords(64), RG.EmbeddingModel("hashed words", 64))
+    return found.select(F.col("query_id").alias("doc_id"), F.size(F.filter("query_vector", lambda x: x != 0)).alias("filled"), F.round(F.aggregate("query_vector", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("weight"))
+
+
+@query("""
+SELECT n_name AS key, arg_max(n_comment, n_nationkey) AS value FROM (SELECT n_name, n_nationkey, n_comment, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) WHERE r_name = 'ASIA' GROUP BY 1""".replace("n_comment", "'T' || n_nationkey"))
+def translation_map_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translation map appended in batches and read for one language."""
+    rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("r_name").alias("language"), F.col("n_name").alias("translation_key"), F.concat(F.lit("T"), "n_nationkey").alias("translation_value"))
+    store = A.TranslationMap(spark, scratch(spark, "translations"))
+    store.append(rows.where("language <= 'ASIA'").withColumn("translation_value", F.lit("old")))
+    store.append(rows.unionByName(rows))
+    return store.load("ASIA")
+
+
+@query("""
+SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END::INT AS label FROM embeddings""")
+def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection: added twice, changed by upsert, saved, damaged and loaded again."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
+    store = R.Collection(spark, scratch(spark, "collections"), "vectors", "vec_id", indexed=("label",))
+    store.add(rows.where("vec_id % 2 = 0"))
+    store.add(rows)
+    store.upsert(rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    store.snapshot("good")
+    store.upsert(rows.withColumn("label", F.lit(-1)))
+    store.load("good")
+    store.clean()
+    return store.read()
+
+
+@query()
+def knn_inverted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search over a collection partitioned by cell: cells, sign bits, exact scores."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cells = R.Cells.fit(vectors, "embedding", 16)
+    store = R.Collection(spark, scratch(spark, "collections"), "cells", "vec_id", "cell")
+    store.add(cells.assign(vectors, "embedding"))
+    found = R.knn_cells(_queries(spark, sf_dir), store.read(), cells, 10, 64, probes=10, oversampling=10.0)
+    return found.withColumn("similarity", F.round("similarity", 3))
+
+
+@query(_KNN.format(where="e.vec_id <> query_id", k=10) + """,
+o AS (SELECT 'none' AS reranker, query_id, vec_id, rank FROM t UNION ALL SELECT 'reversed', query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) FROM t),
+rel AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
+n AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1), k AS (SELECT unnest([5, 10])::INT AS k), r AS (SELECT unnest(['none', 'reversed']) AS reranker),
+h AS (SELECT reranker, k, o.query_id, rank, row_number() OVER (PARTITION BY reranker, k, o.query_id ORDER BY rank) AS seen FROM o JOIN rel USING (query_id, vec_id), k WHERE rank <= k),
+g AS (SELECT reranker, k, query_id, sum(1 / log2(rank + 1)) AS dcg, sum(seen / rank::DOUBLE) AS ps, count(*) AS hits FROM h GROUP BY 1, 2, 3),
+m AS (SELECT r.reranker, k.k, n.query_id, coalesce(dcg / list_sum([1 / log2(i + 1) for i in range(1, least(relevant, k.k) + 1)]), 0) AS ndcg, coalesce(ps / least(relevant, k.k), 0) AS ap, coalesce(hits / relevant::DOUBLE, 0) AS rec, coalesce(hits / k.k::DOUBLE, 0) AS pre FROM n CROSS JOIN k CROSS JOIN r LEFT JOIN g ON g.query_id = n.query_id AND g.k = k.k AND g.reranker = r.reranker)
+SELECT reranker, k, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(ap), 6) AS average_precision, round(avg(rec), 6) AS recall, round(avg(pre), 6) AS precision FROM m GROUP BY 1, 2""")
+def reranker_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking metrics before and after a reranker that turns lists round."""
+    vectors, queries = read(spark, sf_dir, "embeddings"), _queries(spark, sf_dir)
+    found = R.knn(queries, vectors, 10, exclude_self=True)
+    own = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = vectors.select("vec_id", "label").join(F.broadcast(own), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    turned = lambda x: RR.rerank_pointwise(x, -F.col("similarity")).drop("rerank_score")
+    m = RR.compare_rerankers(found, relevant, {"reversed": turned}, (5, 10))
+    return m.select("reranker", "k", "queries", *[F.round(c, 6).alias(c) for c in m.columns[3:]])
+
+
+@query("SELECT vec_id AS query_id FROM embeddings e WHERE vec_id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM embeddings f WHERE f.label = 3 AND f.vec_id = e.vec_id)")
+def unanswered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without a result among the vectors of one label."""
+    own = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("query_id"))
+    return R.unanswered(_queries(spark, sf_dir), own)
+
+
+@query("SELECT source, bool_and(coalesce(quality = 1, false)) AS verified FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def all_claims_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources all of whose documents are labelled good."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return E.all_supported(d.withColumn("label", F.when(F.col("quality") == 1, "SUPPORTS").otherwise("REFUTES")), "source")
+
+
+@query("""
+WITH m AS (SELECT r_name AS entity, lower(n_name[1:2]) AS language, 'label ' || min(n_name) AS name, 1 AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2
+  UNION ALL SELECT r_name, lower(n_name[1:2]), 'link ' || max(n_name), 0 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 GROUP BY 1, 2
+  UNION ALL SELECT r_name, unnest(['en', 'commons']), 'x', 0 FROM region)
+SELECT entity, language, arg_min(name, place) AS name FROM m WHERE language NOT IN ('en', 'en-gb', 'en-ca', 'commons', 'simple') GROUP BY 1, 2""")
+def available_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of an entity's links and labels, links first, English and services left out."""
+    d = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("language", F.lower(F.left("n_name", F.lit(2))))
+    collected = lambda rows, name, alias: rows.groupBy("r_name", "language").agg(name.alias("name")).groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("language", "name"))).alias(alias))
+    labels = collected(d, F.concat(F.lit("label "), F.min("n_name")), "labels")
+    links = collected(d.where("n_nationkey % 2 = 0"), F.concat(F.lit("link "), F.max("n_name")), "links")
+    services = F.create_map(F.lit("en"), F.lit("x"), F.lit("commons"), F.lit("x"))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    both = labels.join(links, "r_name", "left").withColumn("links", V.merged_options(services, F.coalesce("links", none)))
+    return both.select(F.col("r_name").alias("entity"), F.explode(V.available_languages("links", "labels")).alias("language", "name"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10 AS low, l_linenumber * 10 + least(floor(max(l_quantity)), 9) AS high FROM lineitem GROUP BY 1, 2),
+p AS (SELECT o_orderkey, 10 + o_custkey % 60 AS a, 10 + o_custkey % 60 + 2 AS b FROM orders)
+SELECT o_orderkey, a::BIGINT AS a, b::BIGINT AS b, (SELECT min(l_linenumber) FROM o WHERE l_orderkey = o_orderkey AND a >= low AND b <= high)::INT AS place FROM p""")
+def paragraph_in_disjoint_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one section of an order that holds a span; sections do not overlap."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("int").alias("place")).agg(F.floor(F.max("l_quantity")).alias("size"))
+    low = F.col("place").cast("long") * 10
+    sections = lines.select("o_orderkey", low.alias("low"), (low + F.least("size", F.lit(9))).alias("high"), "place")
+    at = 10 + F.col("o_custkey") % 60
+    spans = read(spark, sf_dir, "orders").select("o_orderkey", at.alias("a"), (at + 2).alias("b"))
+    return S.assign_disjoint(spans, sections, "o_orderkey", "a", "b", "low", "high", "place")
+
+
+@query("""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role AS title, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id, string_agg('[' || k || '] Title: ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS prompt,
+  string_agg('<strong>[a' || (k + 2) || '] Title: ' || title || '</strong>' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY k) FILTER (k <= 2) AS review, count(*) FILTER (k <= 2)::INT AS shown,
+  string_agg('#### [' || title || '](https://a.org/' || conv_id || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS markdown FROM c GROUP BY 1)
+SELECT conv_id, md5(prompt) AS prompt, md5(review) AS review, shown, md5(markdown) AS markdown FROM t""")
+def result_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as text for a prompt, for a reader, and as Markdown."""
+    item = F.struct("turn", F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("https://a.org/"), "conv_id").alias("url"))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    review = T.result_review("r", first=3, limit=2, prefix="a")
+    return c.select("conv_id", F.md5(T.result_string("r")).alias("prompt"), F.md5(review["text"]).alias("review"), review["shown"].alias("shown"), F.md5(T.result_markdown("r")).alias("markdown"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, url, html FROM pages), f AS (SELECT page_id, 'my ' || replace(replace(url, '://', ' <'), '/', '?') || '%.jsonl.gz' AS name, url, html FROM u)
+SELECT page_id, regexp_replace(regexp_replace(name, '["%*/:<>?|\\]', '-', 'g'), ' ', '_', 'g') AS safe, split_part(name, '.', 1) AS stem,
+ trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, CASE WHEN page_id % 2 = 0 THEN url ELSE 'Chatbot: ' || url END AS said,
+ 'Title: ' || url || chr(10) || left(html, 600) AS embedded FROM f""".replace("split_part(name, '.', 1)", "regexp_extract(name, '^[^.]*')"))
+def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe file names, names without extensions, tags, prefixes, embedding texts and excerpts of pages."""
+    p = read(spark, sf_dir, "pages")
+    name = F.concat(F.lit("my "), F.replace(F.replace("url", F.lit("://"), F.lit(" <")), F.lit("/"), F.lit("?")), F.lit("%.jsonl.gz"))
+    said = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("User:  "), "url")).otherwise(F.concat(F.lit("Chatbot: "), "url"))
+    return p.select("page_id", T.secure_file_name(name).alias("safe"), T.remove_all_extensions(name).alias("stem"), T.first_tag("html", "title").alias("title"), T.remove_prefix(said).alias("said"), T.embedding_text("url", T.prompt_excerpt("html")).alias("embedded"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, doc_id % 7 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'https://x.org/' || doc_id || '.pdf' WHEN 1 THEN 'https://arxiv.org/pdf/' || doc_id WHEN 2 THEN 'https://arxiv.org/oa/' || doc_id WHEN 3 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/' || doc_id || '/pdf/'
+ WHEN 4 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' WHEN 5 THEN 'https://aclanthology.org/' || doc_id || '.pdf' END AS url, k IN (1, 3, 4, 5) AS in_subset,
+ CASE WHEN k < 3 THEN (k + 1) || '. Results' ELSE 'Results' END AS section FROM p""")
+def paper_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best url of a paper, whether it belongs to a sub-collection, and numbered sections."""
+    k, i = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    at = lambda n: F.when(k == n, i)
+    ids = F.create_map(F.lit("arxiv"), F.coalesce(at(1), F.lit("")), F.lit("pubmedcentral"), at(3), F.lit("pubmed"), at(4), F.lit("acl"), at(5))
+    pdf = F.when(k == 0, F.array(F.concat(F.lit("https://x.org/"), i, F.lit(".pdf")))).otherwise(F.array().cast("array<string>"))
+    oa = F.when(k == 2, F.concat(F.lit("https://export.arxiv.org/oa/"), i))
+    url = T.paper_url(pdf, at(1), oa, at(3), at(4), at(5))
+    return read(spark, sf_dir, "documents").select("doc_id", url.alias("url"), A.in_subset(ids).alias("in_subset"), T.section_with_number(F.when(k < 3, (k + 1).cast("string")), F.lit("Results")).alias("section"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS e, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'the' WHEN 2 THEN '1984' WHEN 3 THEN 'Well known (place)' ELSE 'Title name (x)' END AS t FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN e || ' (in English: Well known)' ELSE e END AS name FROM d""")
+def translated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with their English ones; not for frequent words, numbers, or what the title says."""
+    k = F.col("doc_id") % 5
+    t = F.when(k == 1, "the").when(k == 2, "1984").when(k == 3, "Well known (place)").when(k == 4, "Title name (x)")
+    return read(spark, sf_dir, "documents").select("doc_id", S.translated_name(F.coalesce("source", F.lit("")), t, F.lit("A title NAME here"), frozenset({"the"})).alias("name"))
+
+
+@query("""
+SELECT 'rows' AS kind, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 3 <> 0
+UNION ALL SELECT 'corrupt', count(*), NULL FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT 'converted', count(*), sum(doc_id)::BIGINT FROM documents WHERE doc_id % 10 <> 0
+UNION ALL SELECT 'rejected', count(*), NULL FROM documents WHERE doc_id % 10 = 0""")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines with damaged lines: read with resume by id, and converted to Parquet."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    folder = scratch(spark, "lines")
+    broken = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("{"), F.left("value", F.lit(12)))).otherwise(F.col("value"))
+    d.select(broken.alias("value")).write.option("compression", "gzip").text(f"{folder}/a.jsonl")
+    seen = d.where("doc_id % 3 = 0").select("doc_id")
+    rows, corrupt = A.read_blocks(spark, f"{folder}/a.jsonl", "doc_id long, text string", seen, "doc_id")
+    rejected = A.jsonl_to_parquet(spark, f"{folder}/a.jsonl", f"{folder}/b.parquet", "doc_id long, text string", pattern="*")
+    counts = lambda x, kind: x.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).select(F.lit(kind).alias("kind"), "n", "ids")
+    none = F.lit(None).cast("long").alias("ids")
+    refused = spark.range(1).select(F.lit("rejected").alias("kind"), F.lit(rejected).cast("long").alias("n"), none)
+    return counts(rows, "rows").unionByName(corrupt.agg(F.count("*").alias("n")).select(F.lit("corrupt").alias("kind"), "n", none)).unionByName(counts(spark.read.parquet(f"{folder}/b.parquet"), "converted")).unionByName(refused)
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, n_chars, lang FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2024-03-0' || (doc_id % 9 + 1) END AS last_edit_date, '{"lang":' || coalesce('"' || lang || '"', 'null') || ',"n":' || n_chars || '}' AS block_metadata, source AS document_title FROM d""".replace("SELECT doc_id, CASE", "SELECT doc_id::VARCHAR AS section_title, CASE"))
+def old_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the old layout: names, dates, and unknown columns as metadata."""
+    k = F.col("doc_id")
+    old = read(spark, sf_dir, "documents").select(k.alias("id"), F.col("source").alias("article_title"), F.concat(F.lit("Top > "), k).alias("full_section_title"), F.when(k % 3 == 0, F.concat(F.lit("3:"), k % 9 + 1, F.lit(":24"))).alias("last_edit_date"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("n_chars").alias("n"))
+    return B.migrate_old_blocks(old).select("section_title", "last_edit_date", "block_metadata", "document_title")
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE repeat('word ', (doc_id % 9 + 1)::INT) END AS c FROM documents)
+SELECT CASE WHEN c = '' THEN 'empty content' ELSE 'tokens' END AS fault, count(*) AS n FROM d WHERE c = '' OR doc_id % 9 + 1 < 5 GROUP BY 1
+UNION ALL SELECT 'not JSON', count(*) FROM labels WHERE quality = 0 HAVING count(*) > 0
+UNION ALL SELECT 'metadata', count(*) FROM d WHERE c <> '' AND doc_id % 11 = 10 HAVING count(*) > 0""".replace("doc_id % 9 + 1 < 5 GROUP BY 1", "(doc_id % 9 + 1 < 5 AND doc_id % 11 <> 10) GROUP BY 1"))
+def upload_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upload would be refused for."""
+    k = F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(
+        F.lit("t").alias("document_title"), F.when(k % 7 == 0, "").otherwise(F.repeat(F.lit("word "), (k % 9 + 1).cast("int"))).alias("content"),
+        F.when(k % 11 == 10, '{"a":"x"}').otherwise('{"a":1}').alias("block_metadata"), k.alias("row"),
+    )
+    corrupt = read(spark, sf_dir, "labels").where("quality = 0").select(F.lit("x").alias("_corrupt_record"))
+    return B.upload_faults(rows, corrupt)
+
+
+@query("SELECT count(DISTINCT source) AS articles, (SELECT count(DISTINCT source) FROM documents WHERE lang = 'en') AS kept, count(DISTINCT source) - (SELECT count(DISTINCT source) FROM documents WHERE lang = 'en') AS skipped, round(100.0::DOUBLE * (count(DISTINCT source) - (SELECT count(DISTINCT source) FROM documents WHERE lang = 'en')) / count(DISTINCT source), 6) AS skipped_percent, count(source) - count(DISTINCT source) AS duplicates FROM documents")
+def step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles seen, kept and skipped, and duplicates, of a step."""
+    d = read(spark, sf_dir, "documents")
+    return B.run_counters(d, d.where("lang = 'en'"), "source")
+
+
+@query("""
+WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id FROM documents), b AS (SELECT row_number() OVER (ORDER BY item_id DESC) - 1 AS position, item_id FROM benchmark)
+SELECT position, doc_id, item_id FROM a FULL JOIN b USING (position)""")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items side by side, by position."""
+    return O.zip_rows(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "benchmark").select("item_id"), [F.col("doc_id")], [F.desc("item_id")])
+
 
 # ---- streaming, checked against the same windows over the table
 
@@ -594,8 +883,6 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def _drain(spark: SparkSession, frame: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream until its source is drained; the result as a table in the shared folder, rewritten by each micro-batch."""
-    from corpusloom.plans.runtime import scratch
-
     path, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
     q = frame.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -623,3 +910,18 @@ SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that end after six quiet hours."""
     return _drain(spark, W.sessions(_stream(spark, sf_dir), "6 hours", ["user_id"], "40 days"))
+
+
+@query("SELECT event_type AS id, max(event_id) AS newest FROM events GROUP BY 1")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they land, batch by batch, into a collection whose rows they replace."""
+    store = R.Collection(spark, scratch(spark, "collections"), "latest")
+
+    def upsert(df: DataFrame) -> None:
+        new = df.groupBy(F.col("event_type").alias("id")).agg(F.max("event_id").alias("newest"))
+        if store.exists():  # a batch that comes again changes nothing
+            new = new.unionByName(store.read()).groupBy("id").agg(F.max("newest").alias("newest"))
+        store.upsert(new)
+
+    W.upsert_stream(_stream(spark, sf_dir), lambda df: df.where("event_type IS NOT NULL"), upsert, scratch(spark, "stream-state")).awaitTermination()
+    return store.read()
