@@ -192,6 +192,6 @@ def test_one_turn_of_many_dialogues(spark):
 
 def test_percentiles_and_repeats(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
-    assert {r.percent: r.value for r in S.percentiles(df, "x", 25).collect()} == {0: 0.0, 25: 25.0, 50: 50.0, 75: 75.0, 100: 100.0}
+    assert {r.percent: r.value for r in S.percentiles(df, "x", [0, 25, 50, 75, 100]).collect()} == {0: 0.0, 25: 25.0, 50: 50.0, 75: 75.0, 100: 100.0}
     topics = spark.createDataFrame([("a",), ("b",), ("c",)], "t string")
     assert [r.t for r in S.repeat_round_robin(topics, 7, "t").orderBy("slot").collect()] == list("abcabca")

@@ -1,9 +1,11 @@
 import io
 import json
+import random
 import tarfile
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.sources import archives as A
 from corpusloom.sources import html as H
 from corpusloom.sources import papers as P
@@ -15,7 +17,7 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body>
 <h2>Life</h2><p>Born.</p><h3>Youth</h3><ul><li>one<li>two <ul><li>deep</li></ul></li></ul><p>After list</p>
 <h2>References</h2><p>hidden</p><h3>Sub</h3><p>hidden too</p>
 <h2>Works</h2><table class="infobox"><tr><th>Name</th><td>Ada</td></tr><tr><td colspan="2">same</td></tr></table>
-<table><tr><th>Year</th><th>Notes .Notes</th><th>A.B</th></tr><tr><td>1</td><td>x</td><td>y</td></tr><tr><td rowspan="2">2</td><td>z</td><td>z</td></tr><tr><td>q</td><td>r</td></tr></table>
+<table><tr><th rowspan="2">Year</th><th rowspan="2">No.</th><th>A</th></tr><tr><th>B</th></tr><tr><td>1</td><td>x</td><td>y</td></tr><tr><td rowspan="2">2</td><td>z</td><td>z</td></tr><tr><td>q</td><td>r</td></tr></table>
 <table><tr><td>only one column</td></tr></table>
 <div>floating <a href="/wiki/K%C3%B6ln">Cologne</a> text<p>inner</p></div><a href="/x&action=edit">edit</a>
 </body></html>"""
@@ -30,7 +32,7 @@ def test_page_to_blocks():
     box = next(c for s, c, k in got if k == "infobox")
     assert box == "<Table>\n\n| --- | --- |\nName: Ada".replace("\n\n", "\n\n") + "\nsame\n</Table>"
     table = next(c for s, c, k in got if k == "table")
-    assert table == "<Table>\n| Year | Notes | A> B |\n| --- | --- | --- |\n| 1 | x | y |\n2: z\n| 2 | q | r |\n</Table>"
+    assert table == "<Table>\n| Year | No. | A> B |\n| --- | --- | --- |\n| 1 | x | y |\n2: z\n| 2 | q | r |\n</Table>"
     assert ("Works", "floating Cologne text", "text") in got and ("Works", "inner", "text") in got
     assert not any("edit" == c or "notice" in c or "var a" in c or "only one" in c for _, c, _ in got)
     moved = H.blocks_of(PAGE, "Title", {"Köln": "Cologne (city)"})
@@ -73,9 +75,18 @@ def test_archives(spark, tmp_path):
 
     archive("a.tar.gz", {"x.ndjson": [json.dumps({"name": "A", "n": 1}), "broken {", "[1]", json.dumps({"name": "B"})], "y.ndjson": [json.dumps({"name": "C"})]})
     (tmp_path / "b.tar.gz").write_bytes(b"not an archive")
-    got = A.read_tar_ndjson(spark, [f"file://{tmp_path}/a.tar.gz", f"file://{tmp_path}/b.tar.gz"], "name string, n int")
+    many = [json.dumps({"name": f"m{i}", "text": "x" * (i % 700)}) for i in range(3000)]
+    archive("c.tar.gz", {"long-" + "n" * 150 + ".ndjson": many, "empty.ndjson": [], "z.ndjson": [json.dumps({"name": "Z"}) + "\n"]})
+    whole = (tmp_path / "c.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(whole[: len(whole) // 2])
+    got, rejected = A.read_tar_ndjson(spark, [f"file://{tmp_path}/a.tar.gz", f"file://{tmp_path}/b.tar.gz"], "name string, n int")
     assert sorted(r.record.name for r in got.collect()) == ["A", "B", "C"]
-    assert A.limit_per_file(got, 1, "line_no").count() == 1 and A.limit_per_file(got, -1, "line_no").count() == 3
+    assert sorted(r.line for r in rejected.collect()) == ["[1]", "broken {"]
+    assert A.limit_per_file(got, 1, "line").count() == 1 and A.limit_per_file(got, -1, "line").count() == 3
+    got, rejected = A.read_tar_ndjson(spark, f"file://{tmp_path}/c.tar.gz")
+    assert sorted(r.line for r in got.collect()) == sorted([*many, json.dumps({"name": "Z"})]) and rejected.count() == 0
+    part = {r.line for r in A.read_tar_ndjson(spark, f"file://{tmp_path}/cut.tar.gz")[0].collect()}
+    assert part <= set(many) and len(part) < len(many)
 
 
 def test_json_lines(spark, tmp_path):
@@ -84,7 +95,8 @@ def test_json_lines(spark, tmp_path):
     assert sorted(r.id for r in rows.collect()) == [1, 2] and [r._corrupt_record for r in corrupt.collect()] == ["{broken"]
     seen = spark.createDataFrame([(1,)], "id long")
     assert [r.id for r in A.read_blocks(spark, f"file://{tmp_path}/c.jsonl", "id long, content string", seen)[0].collect()] == [2]
-    A.jsonl_to_parquet(spark, f"file://{tmp_path}", f"file://{tmp_path}/out.parquet", "id long, content string")
+    assert A.jsonl_to_parquet(spark, f"file://{tmp_path}", f"file://{tmp_path}/out.parquet", "id long, content string") == 1
+    assert spark.read.text(f"file://{tmp_path}/out.parquet.rejected").first()[0] == "{broken"
     assert A.read_blocks(spark, f"file://{tmp_path}/out.parquet", "")[0].where("id = 2").count() == 1
 
 
@@ -108,9 +120,52 @@ def test_disambiguation(spark):
 def test_splitting():
     text = "one two three. four five\n\nsix seven " + "x" * 30
     pieces = P.split_recursive(text, 3)
-    assert all(P.default_length(p) <= 3 for p in pieces) and "".join(pieces).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert all(len(P.token_spans(p)) <= 3 for p in pieces) and "".join(pieces).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
     assert P.split_recursive("", 3) == [] and P.split_recursive("short", 3) == ["short"]
-    assert P.split_recursive("abcdef", 2, len) == ["ab", "cd", "ef"]
+    assert P.split_recursive("abcdef", 2, lambda s: [(i, i + 1) for i in range(len(s))]) == ["ab", "cd", "ef"]
+
+
+def test_splitting_against_counting_every_time():
+    def count(s):
+        return len(P.token_spans(s))
+
+    def split(text, limit, marks):
+        if count(text) <= limit:
+            return [text.strip()] if text.strip() else []
+        at = next(i for i, m in enumerate(marks) if not m or m in text)
+        mark = marks[at]
+        first, *others = text.split(mark) if mark else list(text)
+        parts = [p for p in [first, *(mark + o for o in others)] if p]
+        out, held = [], ""
+        for p in parts:
+            if count(held + p) > limit:
+                out += [held.strip()] if held.strip() else []
+                held = ""
+                if count(p) > limit and mark:
+                    out += split(p, limit, marks[at + 1 :])
+                    continue
+            held += p
+        return out + ([held.strip()] if held.strip() else [])
+
+    rng = random.Random(0)
+    for _ in range(800):
+        text = "".join(rng.choice(["a", "é b", " ", "\n", "\n\n", ". ", ",", "word ", "，", "。", "xxxxx", " - "]) for _ in range(rng.randint(0, 60)))
+        limit = rng.choice([1, 2, 3, 7, 20])
+        assert P.split_recursive(text, limit) == split(text, limit, P.SEPARATORS)
+
+
+def test_one_token_count_in_python_and_in_the_jvm(spark):
+    texts = ["Ünï-cödé, 中文字 x_1", "a\u00a0b\u3000c\t.", "نمونه متن", "e\u0301 l'été 3.5%"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.count_tokens("s").alias("n")).collect()
+    assert {r.s: r.n for r in rows} == {t: len(P.token_spans(t)) for t in texts}
+
+
+def test_pieces_of_documents_stay_under_the_limit(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.explode(P.split_text("text")).alias("piece"))
+    assert d.where(T.count_tokens("piece") > P.CHUNK_TOKENS).count() == 0
+    joined = d.groupBy("doc_id", "text").agg(F.concat_ws("", F.collect_list("piece")).alias("j"))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    assert joined.where(F.length(bare("j")) != F.length(bare("text"))).count() == 0
 
 
 def test_papers(spark):
