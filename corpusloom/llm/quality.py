@@ -113,18 +113,23 @@ def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality",
     """Fit on at most ``sample_rows`` labelled rows (a documented bound): those with the smallest hashes of doc_id.
 
     Null labels and null ids take no part; a repeated label row counts once, and of
-    contradicting labels the larger holds. Without labels every score is 0.5.
+    contradicting labels the larger holds. Of rows that repeat an id the smallest statistics are learnt,
+    so the fit is the same however rows are dealt. Without labels every score is 0.5.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     marked = marked if trainable is None else marked.where(trainable)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = features.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "label").toArrow().sort_by("doc_id")
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
     x = np.array(rows["features"].combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
     return boosting.fit(x, np.array(rows["label"], dtype=float))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, threshold: float = 0.3) -> DataFrame:
-    """The documents scored ``threshold`` or higher, as they are; the texts are read where they lie and not shuffled."""
+    """The documents scored ``threshold`` or higher, as they are; the texts are read where they lie and not shuffled.
+
+    Rows are judged each by their own text, so repeated rows, null ids and equal texts share a
+    fate; null and empty texts have all-zero statistics. Without labels every row stays. All columns stay, an empty table stays empty.
+    """
     trainable = remainder(F.col("doc_id"), held_out_of) != 0
     named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(trainable).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     model = fit_quality(statistics(docs.join(F.broadcast(named), "doc_id", "left_semi")), labels, trainable=trainable)
@@ -152,8 +157,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, t
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Learns from labelled documents whose ``remainder(doc_id, held_out_of)`` is not 0. The
-    score sees the text alone. Null and empty texts have all-zero statistics and
-    are scored like others; repeated rows are scored each.
+    score sees the text alone, so equal texts score equally. Null and empty texts have all-zero statistics and
+    are scored like others, texts of any length are read whole; repeated rows and rows with null doc_id are
+    scored each. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     features = materialize(statistics(docs), "quality-statistics")
     model = fit_quality(features, labels, trainable=remainder(F.col("doc_id"), held_out_of) != 0)

@@ -116,9 +116,9 @@ class Learner:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", trainable: Column | None = None, sample_rows: int = SAMPLE_ROWS, passes: int = 4) -> Sparse:
     """Fit on at most ``sample_rows`` labelled rows (a documented bound): those with the smallest hashes of doc_id.
 
-    Null labels and ids take no part; of contradicting labels the larger holds. The
-    rows are learnt in the order of that hash. Their features come to the
-    driver's learner in batches, ``sample_rows`` rows in all.
+    Null labels and ids take no part; of contradicting labels the larger holds. Of rows that
+    repeat an id the text of the smallest hash is learnt, once, so that the driver's learner
+    gets the features of ``sample_rows`` documents at most, in the order of their ids' hashes. Without labelled documents all weights are zero.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     marked = marked if trainable is None else marked.where(trainable)
@@ -132,7 +132,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
             rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & ((1 << HASH_BITS) - 1)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["at", "label", "features"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("at", "label", "text")
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = named.groupBy("doc_id", "at", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("at", "label", "one.text")
     table = picked.mapInArrow(run, "at long, label double, features array<int>").toArrow().sort_by([("at", "ascending"), ("label", "ascending")])
     learner = Learner()
     labels_of, lists = np.array(table["label"]), table["features"].combine_chunks()
@@ -158,7 +159,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 4,
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Learns only from labelled documents whose ``remainder`` is not ``held_out_at``; without
-    labels every score is 0.5. Repeated rows are scored each; extra columns are ignored.
+    labels every score is 0.5. Null and empty texts score by the bias alone, texts of any length are read
+    whole, equal texts score equally. Repeated rows and rows with null doc_id are scored each; extra
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     held = lambda: remainder(F.col("doc_id"), held_out_of) == held_out_at
     scored = score_toxicity(docs, fit_toxicity(docs, labels, trainable=~held()))

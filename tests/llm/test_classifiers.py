@@ -78,3 +78,92 @@ def test_learner_is_sparse():
         learner.learn(np.append(f, 7) if bad else f, float(bad))
     m = learner.model()
     assert 7 in m.at and m.weight[list(m.at).index(7)] == max(m.weight) and len(m.at) < 1500
+
+
+def plain_statistics(text):
+    """Some of the document statistics, word by word."""
+    raw = text.encode()
+    words = raw.split()
+    n, nb = len(words), max(len(raw), 1)
+    marks = set(range(33, 48)) | set(range(58, 65)) | set(range(91, 97)) | set(range(123, 127))
+    runs, longest = 1, 0
+    for a, b in zip(words, [*words[1:], None]):
+        longest = max(longest, runs)
+        runs = runs + 1 if a == b else 1
+    return {
+        "log_words": np.log1p(n), "mean_word": sum(map(len, words)) / n, "long_words": sum(len(w) > 20 for w in words) / n, "upper": sum(65 <= c <= 90 for c in raw) / nb, "digits": sum(48 <= c <= 57 for c in raw) / nb,
+        "punctuation": sum(c in marks for c in raw) / nb, "non_ascii": sum(c > 127 for c in raw) / nb, "distinct": len(set(words)) / n, "commonest": max(words.count(w) for w in set(words)) / n,
+        "repeated_neighbours": sum(a == b for a, b in zip(words, words[1:])) / n, "longest_repeat": longest / n, "distinct_pairs": len(set(zip(words, words[1:]))) / max(n - 1, 1), "words_per_line": n / (raw.count(b"\n") + 1),
+        "stops": sum(w.endswith(b".") for w in words) / n, "short_words": sum(len(w) <= 2 for w in words) / n, "capitalised": sum(65 <= w[0] <= 90 for w in words) / n,
+    }
+
+
+def test_quality_against_brute_force(spark):
+    """Statistics word by word, and scores node by node from the flattened trees."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    features = quality.statistics(docs)
+    model = quality.fit_quality(features, labels, trainable=quality.remainder(F.col("doc_id"), 5) != 0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: r.features for r in features.collect()}
+    for d, text in texts.items():
+        if text and text.split() and len(text) < 4000:
+            for name, value in plain_statistics(text).items():
+                assert abs(rows[d][quality.FEATURES.index(name)] - value) < 1e-5 + 1e-5 * abs(value), name
+
+    def score(x):
+        total = model.base
+        for feature, cut, leaf in zip(model.feature.tolist(), model.cut.tolist(), model.leaf.tolist()):
+            node = 0
+            while node < len(feature):
+                passed = sum(e < x[feature[node]] for e in model.edges[feature[node]].tolist())
+                node = 2 * node + (2 if passed > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    for r in quality.classify_quality(docs, labels).collect():
+        assert abs(r.score - score(rows[r.doc_id])) < 1e-9
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores from the sparse weights, feature by feature in a set, with hashes of one word at a time."""
+    import pyarrow as pa
+
+    from corpusloom.llm._text import buffers, words_of
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels, trainable=quality.remainder(F.col("doc_id"), 4) != 2)
+    weight = dict(zip(model.at.tolist(), model.weight.tolist()))
+    name = lambda w, seed=0: int(words_of(*buffers(pa.array([w], pa.binary()))).hashes(seed)[0])
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    def score(text):
+        words = []
+        for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split():
+            bare = w.strip(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+            words.append(bare or w)
+        ids = [name(w) for w in words]
+        found = {i >> 44 for i in ids} | {name(w[:k], k) >> 44 for w in words for k in toxicity.STEM_BYTES if len(w) > k}
+        for kind, gap in ((1, 1), (2, 2)):
+            found |= {mixed((a * (2 * kind + 1) + b) % 2**64) >> 44 for a, b in zip(ids, ids[gap:])}
+        return 1 / (1 + np.exp(-np.clip(sum(weight.get(f, 0.0) for f in found) + model.bias, -35, 35)))
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        if len(texts[r.doc_id]) < 3000:
+            assert abs(r.score - score(texts[r.doc_id])) < 1e-9
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    rows = [(1, "bad awful thing"), (2, "fine nice words")] + [(3, f"copy {i % 4} of one id") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    few = docs.dropDuplicates(["doc_id", "text"])
+    for f in (lambda d: toxicity.fit_toxicity(d, labels), lambda d: quality.fit_quality(quality.statistics(d), labels)):
+        one, two = f(docs.repartition(7)), f(few.repartition(2))
+        assert all(np.array_equal(a, b) for a, b in zip(vars(one).values(), vars(two).values()))
