@@ -1,7 +1,10 @@
 import hashlib
+import math
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,12 +71,97 @@ def test_rows(spark):
     assert media.read_media(nothing).collect()[0].payload is None
 
 
-def test_query_against_recomputation(spark, sf_dir):
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    seen = {}
-    for r in op9_media_columns(spark, sf_dir).collect():
-        p = media.pad(texts[r.doc_id].encode())
-        m = media.encode(texts[r.doc_id].encode())
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+def plain_decode(png):
+    """Samples of an 8-bit grey PNG by the specification, byte by byte; shares no code with the operator."""
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, kinds, stream = 8, [], b""
+    while at < len(png):
+        n = int.from_bytes(png[at : at + 4], "big")
+        kind, body = png[at + 4 : at + 8], png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", body)
+            assert (depth, colour, rest) == (8, 0, [0, 0, 0])
+        stream += body if kind == b"IDAT" else b""
+        kinds.append(kind)
+        at += 12 + n
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and at == len(png)
+    raw, out, used = zlib.decompress(stream), [], set()
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        used.add(line[0])
+        row = []
+        for x, value in enumerate(line[1:]):
+            a = row[x - 1] if x else 0
+            b = out[y - 1][x] if y else 0
+            c = out[y - 1][x - 1] if x and y else 0
+            if line[0] == 4:
+                p = a + b - c
+                distance = [abs(p - a), abs(p - b), abs(p - c)]
+                guess = (a, b, c)[distance.index(min(distance))]
+            else:
+                guess = (0, a, b, (a + b) // 2)[line[0]]
+            row.append((value + guess) % 256)
+        out.append(row)
+    return out, used
+
+
+def plain_feature(rows):
+    """The 64 lowest cosine frequencies of a 32 x 32 reduction, by sums."""
+
+    def reduce(values):
+        n = len(values)
+        if n < 32:
+            return [values[i * n // 32] for i in range(32)]
+        edges = [i * n // 32 for i in range(33)]
+        return [sum(values[a:b]) / (b - a) for a, b in zip(edges, edges[1:])]
+
+    columns = [reduce([float(r[x]) for r in rows]) for x in range(len(rows[0]))]
+    grid = [reduce([c[y] for c in columns]) for y in range(32)]
+    wave = [[math.cos(math.pi / 32 * (i + 0.5) * k) for i in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * grid[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return low, middle
+
+
+def test_query_against_an_independent_decoder(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("length(text) < 3000 OR text IS NULL")
+    stored = {r.doc_id: bytes(r.media) for r in media.to_media(docs).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    seen, filters = {}, set()
+    for r in op9_media_columns(spark, folder).collect():
+        if r.doc_id not in texts:
+            continue
+        rows, used = plain_decode(stored[r.doc_id])
+        filters |= used
+        payload = bytes(x for row in rows for x in row)
+        padded = texts[r.doc_id] + bytes((-len(texts[r.doc_id]) % 64) or (0 if texts[r.doc_id] else 64))
+        assert payload == padded
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
         assert seen.setdefault(texts[r.doc_id], (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        low, middle = plain_feature(rows)
+        for i, bit in enumerate(f"{int(r.feature, 16):064b}"[1:], 1):
+            assert abs(low[i] - middle) < 1e-6 or (low[i] > middle) == (bit == "1")
+    assert len(filters) > 2
+
+
+def test_many_images_at_once_and_sizes():
+    rng = np.random.default_rng(3)
+    payloads = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 63, 64, 65, 700, 9000, 64 * 80)]
+    offsets = np.cumsum([0, *map(len, payloads)])
+    stored = media.encode_all(np.frombuffer(b"".join(payloads), np.uint8), offsets)
+    assert stored == [media.encode(p) for p in payloads]
+    assert [media.size_of(m) for m in stored] == [len(media.pad(p)) for p in payloads]
+    other = media.encode(payloads[5], width=7)
+    for (image, n), p in zip(media.decode_all([*stored, other]), [*payloads, payloads[5]]):
+        assert image.tobytes()[:n] == p
+
+
+def test_blocks_are_cut_by_samples():
+    stored = media.encode(b"a" * (3 << 20))  # a small stream of many samples
+    assert len(stored) < media.BLOCK_BYTES // 8
+    small = media.encode(b"a" * (300 << 10))
+    batch = pa.RecordBatch.from_arrays([pa.array([stored, stored, small, small, small, small, None, stored], pa.binary())], ["m"])
+    assert [len(m) for _, m in media._by_samples([batch], 0)] == [1, 1, 3, 2, 1]
