@@ -60,3 +60,21 @@ def test_empty_and_all_zero(spark):
     assert mixing.mix_sources(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
     zero = spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id long, source string, text string")
     assert [r.copies for r in mixing.mix_sources(zero).collect()] == [0, 0]
+
+
+def test_equal_rows_on_the_boundary_are_split(spark):
+    rows = [(1, "a", "x y z u v w q")] * 1000 + [(2, "b", "p q")] * 3 + [(i, "c", "k " * 50) for i in range(10, 60)]
+    docs = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, source string, text string, copies int").repartition(7)
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_sources(docs, weights=(1.0,), share=0.5).collect():
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+        assert 0 <= r.copies <= 2
+    assert abs(taken["a"] - target["a"]) <= 7 and abs(taken["b"] - target["b"]) <= 2 and abs(taken["c"] - target["c"]) <= 50
+    assert 0 < taken["a"] < 7000
+    applied = mixing.apply_mix(docs, weights=(1.0,), share=0.5)
+    assert applied.columns == docs.columns
+    words = defaultdict(int)
+    for r in applied.collect():
+        words[r.source] += len(r.text.split())
+    assert dict(words) == {s: n for s, n in taken.items() if n}
