@@ -71,24 +71,28 @@ def _message(at: Column, end: Column) -> Column:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """Add ``segments`` array<struct<text, loss>> and ``formatted``, their texts joined.
+    """Add ``formatted``, the rendered conversation, and ``mask`` array<struct<loss, skip, length>>, one entry for each turn of it.
 
-    The loss mask covers the escaped texts of assistant messages and nothing else. A null role renders as an
-    empty one. Columns of those names are replaced.
+    The loss mask covers the escaped texts of assistant messages and nothing else: where ``loss`` is true, the ``length``
+    characters after the first ``skip`` of that turn. A null role renders as an empty one. Columns of those names are replaced.
     """
-    parts = F.transform("messages", lambda m: F.array(
-        F.struct(F.concat(F.lit(TURN_HEAD), escape_role(F.coalesce(m["role"], F.lit(""))), F.lit(HEAD_END)).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(F.coalesce(m["text"], F.lit(""))).alias("text"), F.coalesce(m["role"] == LOSS_ROLE, F.lit(False)).alias("loss")),
-        F.struct(F.lit(TURN_END).alias("text"), F.lit(False).alias("loss")),
-    ))
-    out = conversations.withColumn("segments", F.flatten(parts))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    head = lambda m: F.concat(F.lit(TURN_HEAD), escape_role(F.coalesce(m["role"], F.lit(""))), F.lit(HEAD_END))
+    body = lambda m: escape(F.coalesce(m["text"], F.lit("")))
+    parts = F.transform("messages", lambda m: F.struct(head(m).alias("head"), body(m).alias("body"), F.coalesce(m["role"] == LOSS_ROLE, F.lit(False)).alias("loss")))
+    out = conversations.withColumn("__parts", parts)
+    mask = F.transform("__parts", lambda p: F.struct(p["loss"].alias("loss"), F.length(p["head"]).alias("skip"), F.length(p["body"]).alias("length")))
+    text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END))), "")
+    return out.withColumns({"formatted": text, "mask": mask}).drop("__parts")
+
+
+def _turns_of(formatted: Column) -> Column:
+    """The turns of a rendered conversation as they stand, without their end marks: a text never holds one."""
+    pieces = F.split(formatted, TURN_END, -1)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a rendered conversation, read from the string alone: array<struct<role, text>>."""
-    pieces = F.split(formatted, TURN_END, -1)
-    turns = F.slice(pieces, 1, F.size(pieces) - 1)
     head = r"(?s)^### ((?:[^\\:]|\\.)*+):\n"
 
     def one(piece: Column) -> Column:
@@ -96,12 +100,13 @@ def parse(formatted: Column) -> Column:
         body = F.substring(piece, F.length(role) + len(TURN_HEAD) + len(HEAD_END) + 1, F.length(piece))
         return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
 
-    return F.transform(turns, one)
+    return F.transform(_turns_of(formatted), one)
 
 
-def masked_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """All text of a rendered conversation under the loss mask, cut from the string and unescaped, in order."""
+    covered = F.filter(F.zip_with(_turns_of(formatted), mask, lambda t, m: F.when(m["loss"], F.substring(t, m["skip"] + 1, m["length"]))), lambda x: x.isNotNull())
+    return F.array_join(F.transform(covered, unescape), "")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -110,5 +115,5 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 
 
 def format_chats(events: DataFrame) -> DataFrame:
-    """conv_id, messages, segments, formatted for every conversation of a log."""
+    """conv_id, messages, formatted, mask for every conversation of a log."""
     return render(reconstruct(events))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, chat, lm, media, mixing, packing, quality, simhash, substrings, toxicity
-from corpusloom.plans.runtime import read, ship
+from corpusloom.plans.runtime import read, ship, spread
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,36 +17,40 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ann.clean_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.nearest(vectors.where("id % 20 = 0"), vectors, k=20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_texts(read(spark, sf_dir, "documents"))
+    return lm.score_texts(_documents(spark, sf_dir))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.classify_quality(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -57,7 +61,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_chats(chat.conversation_events(table.unionByName(extra)))
     turns = chat.parse(F.col("formatted"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = formatted.select("conv_id", "formatted", turns.alias("turns"), chat.masked_text(F.col("segments")).alias("loss"))
+    out = formatted.select("conv_id", "formatted", turns.alias("turns"), chat.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
@@ -65,7 +69,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.to_media(read(spark, sf_dir, "documents")).drop("n_bytes")
+    stored = media.to_media(_documents(spark, sf_dir)).drop("n_bytes")
     facts = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     back = media.read_media(facts)
     tail = F.substring("payload", -64, 64)
@@ -76,7 +80,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.classify_toxicity(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 _ALL = (op1_nearest_neighbours, op2_substring_dedup, op3_lm_scoring, op4_simhash_near_dedup, op5_quality_classifier, op6_best_fit_packing, op7_source_mixing, op8_chat_formatting, op9_media_columns, op10_toxicity)

@@ -34,8 +34,8 @@ def fold(events):
 
 def folded(spark, events):
     df = spark.createDataFrame(events, "conv_id long, seq long, kind string, turn long, role string, text string")
-    out = chat.format_chats(chat.conversation_events(df) if False else df)
-    rows = out.select("conv_id", "messages", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("segments")).alias("loss"), "formatted").collect()
+    out = chat.format_chats(df)
+    rows = out.select("conv_id", "messages", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("mask")).alias("loss"), "formatted").collect()
     return {r.conv_id: r for r in rows}
 
 
