@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import golay
 from corpusloom.llm._text import blocks, buffers, words_of
 from corpusloom.llm.shingles import named, near_components
+from corpusloom.llm.xxh import xxh64
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.runtime import broadcast_if_small, materialize
 
@@ -56,13 +56,11 @@ def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int, seed
     at = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + words.first[doc]
     a = begin[at]
     b = begin[np.minimum(at + width, words.first[doc + 1])] - 1
-    raw, digest = spaced.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(raw[i:j], seed) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a))
+    h = xxh64(spaced, a, b, seed)
     filled = np.flatnonzero(shingles)
-    starts = (np.cumsum(shingles) - shingles)[filled]
-    for bit in range(64):
-        ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.uint32), starts)
-        out[filled] |= (2 * ones.astype(np.int64) > shingles[filled]).astype(np.uint64) << np.uint64(bit)
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[filled], axis=0, dtype=np.int64)
+    out[filled] = np.packbits(2 * ones > shingles[filled, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -263,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFram
     named = classes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component"))
     groups = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     found = materialize(named.join(groups, "component").select(F.col("fingerprint").alias("__of"), "component_id"), "fingerprint-components")
-    return printed.join(broadcast_if_small(found, 400_000), F.col("fingerprint") == F.col("__of"), "left").select("doc_id", "fingerprint", "component_id")
+    return printed.join(broadcast_if_small(found), F.col("fingerprint") == F.col("__of"), "left").select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -277,10 +275,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     groups = materialize(found.join(least, "component"), "near-duplicate-groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    several = broadcast_if_small(materialize(ids.where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids"), 400_000)
+    several = broadcast_if_small(materialize(ids.where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids"))
     goes = groups.where("doc_id <> component_id").select("doc_id").distinct()
     named_rows = docs.where(F.col("doc_id").isNotNull())
-    kept = named_rows.join(broadcast_if_small(goes, 400_000), "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*docs.columns)
+    kept = named_rows.join(broadcast_if_small(goes), "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*docs.columns)
     odd = named_rows.join(several, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
     if odd.isEmpty():
         return kept

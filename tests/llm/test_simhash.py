@@ -104,3 +104,17 @@ def test_large_groups_and_tiles(spark, monkeypatch):
 
     found = connected_components(simhash.near_links(classes)).collect()
     assert len(found) == len(fp) and len({r.component for r in found}) == 1
+
+
+def test_hash_of_many_ranges():
+    import xxhash
+
+    from corpusloom.llm.xxh import xxh64
+
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 9000).astype(np.uint8)
+    size = np.concatenate([np.arange(150), rng.integers(0, 1100, 300), [1023, 1024, 1025, 5000]])
+    start = rng.integers(0, len(data) - size + 1)
+    for seed in (0, 42):
+        got = xxh64(data, start, start + size, seed)
+        assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), seed) for a, n in zip(start, size)]
