@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from corpusloom.llm import shingles, simhash
 
 
@@ -53,3 +55,38 @@ def test_each_row_is_judged_by_its_own_text(spark):
     docs = spark.createDataFrame([(t, d, "k") for d, t in rows], "text string, doc_id long, name string")
     kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
     assert sorted(kept, key=str) == sorted([(1, one), (5, two), (6, three), (6, four), (None, "p q r s t u"), (9, "v w")], key=str)
+
+
+def test_groups_cut_into_tiles_cover_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE", 3)
+    rng = random.Random(10)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4, 6])):
+                copy[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == brute(texts)
+
+
+def test_counts_by_cell_bound_what_sets_share():
+    rng = np.random.default_rng(11)
+    for n in (3, 40, 900):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.85)], rng.integers(0, 2**63, n // 8).astype(np.uint64)]))
+        x, y = (shingles.cell_counts(np.zeros(len(s), np.int64), s, 1)[0] for s in (a, b))
+        similar = 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+        assert shingles._possible([x], [y])[0] or not similar
+    assert shingles._possible([b""], [x])[0]  # a set beyond what a cell can state is never ruled out
+    assert shingles.cell_counts(np.zeros(300, np.int64), np.arange(300).astype(np.uint64), 1) == [b""]
+
+
+def test_many_words_repeated_rows_and_an_empty_table(spark):
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, long), (2, long + " tail"), (3, "short text here"), (3, "short text here")] + [(7, "same words in every row of it")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 7]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
