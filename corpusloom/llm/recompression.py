@@ -17,7 +17,11 @@ import numpy as np
 
 from corpusloom.llm._text import mix
 
-ROUNDS = 4
+
+def rounds_for(window: int) -> int:
+    """Rounds after which symbols have outgrown what a window of so many words can fix: each round doubles them, and a symbol needs its neighbours in the window too."""
+    return max(1, window.bit_length() - 2)
+
 
 _RUN, _PAIR, _SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -77,7 +81,7 @@ def _round(level: Level, doc: np.ndarray, first: np.ndarray, number: int) -> tup
     return Level(name[kept], level.start[kept], size[kept], low[kept], high[kept]), doc[kept]
 
 
-def parse(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
+def parse(names: np.ndarray, first: np.ndarray, rounds: int = 4) -> list[Level]:
     """The levels of a block of documents, words first."""
     n = len(names)
     at = np.arange(n)

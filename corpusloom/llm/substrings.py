@@ -3,9 +3,9 @@
 Every window of ``window`` words takes one interior symbol of the recompressed
 text as its anchor, by a rule that reads the window alone; equal windows thus
 have equal anchors. Neighbouring windows with one anchor form a segment, and
-segments of different documents meet on the anchor's name. Where all segments
-of a name cover the same words, the whole segment repeats; where they differ,
-one segment of each kind has its windows compared one by one. Rows and
+segments of different documents meet on the anchor's name. Segments of a name that cover the same
+words are one kind, and all but the first document's repeat whole; where a name has several
+kinds, the first segment of each has its windows compared one by one. Rows and
 exchanges hold names and fingerprints, a few for each window length of text;
 texts move only for documents that share something.
 """
@@ -29,7 +29,7 @@ WINDOW = 50
 BROADCAST_IDS = 500_000
 
 _BASES = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
-_SEGMENT = "name long, kind long, doc_id long, body long, at int, windows int"
+_SEGMENT = "name long, kind long, check long, doc_id long, body long, at int, windows int"
 
 
 class Rolling:
@@ -57,12 +57,12 @@ def _window_starts(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def block_segments(words: Words, window: int) -> tuple[np.ndarray, ...]:
-    """(document, name, kind, first window, windows) of each segment of a block; ``kind`` fingerprints all its words and the anchor's place."""
+    """(document, name, kind, check, first window, windows) of each segment of a block; ``kind`` and ``check`` are independent fingerprints of all its words and the anchor's place."""
     names = words.hashes()
     starts, doc = _window_starts(words.first, window)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
-    levels = recompression.parse(names, words.first)
+        return (np.zeros(0, np.int64),) * 6
+    levels = recompression.parse(names, words.first, recompression.rounds_for(window))
     level, symbol, name = recompression.anchors(levels, starts, window)
     new = np.ones(len(starts), bool)
     new[1:] = (level[1:] != level[:-1]) | (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])
@@ -73,20 +73,21 @@ def block_segments(words: Words, window: int) -> tuple[np.ndarray, ...]:
     for number, l in enumerate(levels):
         own = level[head] == number
         place[own] = begin[own] - l.start[symbol[head[own]]]
-    kind = mix(Rolling(names).of(begin, end, 0) ^ mix(name[head] + place.view(np.uint64) * _BASES[1]))
-    return doc[head], name[head], kind, begin - words.first[doc[head]], many
+    rolling = Rolling(names)
+    kind, check = (mix(rolling.of(begin, end, k) ^ mix(name[head] + place.view(np.uint64) * _BASES[1 - k])) for k in (0, 1))
+    return doc[head], name[head], kind, check, begin - words.first[doc[head]], many
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """name, kind, doc_id, body (hash of the text), at, windows: the segments of every document with an id."""
+    """name, kind, check, doc_id, body (hash of the text), at, windows: the segments of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            doc, name, kind, at, many = block_segments(words_of(*buffers(batch.column(1))), window)
+            doc, name, kind, check, at, many = block_segments(words_of(*buffers(batch.column(1))), window)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(kind.view(np.int64)), batch.column(0).take(take), batch.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))],
-                ["name", "kind", "doc_id", "body", "at", "windows"],
+                [*(pa.array(x.view(np.int64)) for x in (name, kind, check)), batch.column(0).take(take), batch.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))],
+                ["name", "kind", "check", "doc_id", "body", "at", "windows"],
             )
 
     return _keyed(docs).mapInArrow(run, _SEGMENT)
@@ -97,27 +98,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The documents that ``lists`` (doc_id, body, items) names, with their items; only their texts are shuffled when the ids can be broadcast."""
+    """The documents that ``lists`` (doc_id, body, items) names, once each, with their items; only their texts are shuffled when the ids can be broadcast."""
     ids = lists.select("doc_id").distinct()
     keyed = _keyed(docs)
     if ids.count() <= BROADCAST_IDS:
         keyed = keyed.join(F.broadcast(ids), "doc_id", "left_semi")
-    return keyed.join(lists, ["doc_id", "body"])
+    return keyed.dropDuplicates(["doc_id", "body"]).join(lists, ["doc_id", "body"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, body, runs array<struct<at, windows>>): windows of each document whose words also start in a document with a smaller doc_id."""
     parts = materialize(segments(docs, window), "segments")
-    names = parts.groupBy("name").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("smallest < largest")
+    names = parts.groupBy("name").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").select("name")
     names = materialize(names, "shared-names")  # written, so that the join has exchanges of its own, and a hot name's rows are split
-    shared = parts.join(names.select("name", "smallest", (F.col("k0") == F.col("k1")).alias("alike")), "name")
-    shared = materialize(shared, "shared-segments")
-    whole = shared.where("alike AND doc_id > smallest").select("doc_id", "body", F.array(F.struct("at", "windows")).alias("runs"))
+    shared = materialize(parts.join(names, "name").distinct(), "shared-segments")  # rows that repeat a document count once
 
-    mixed = shared.where("NOT alike")
-    kinds = mixed.groupBy("name", "kind").agg(F.min(F.struct("doc_id", "body", "at", "windows")).alias("one"), F.count("*").alias("members"))
-    kinds = materialize(kinds, "segment-kinds")
-    lists = materialize(kinds.select("one.*").groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "windows")).alias("items")), "segments-of-kinds")
+    # all segments of a kind have the same windows: in a document after the first one of the kind each of them starts earlier
+    kinds = materialize(shared.groupBy("name", "kind", "check").agg(F.min(F.struct("doc_id", "body", "at", "windows")).alias("first")), "segment-kinds")
+    mixed = kinds.groupBy("name").agg((F.count("*") > 1).alias("mixed"))
+    held = materialize(shared.join(materialize(kinds.join(mixed, "name"), "kinds-by-name"), ["name", "kind", "check"]), "segments-with-first")
+    later = held.where("doc_id > first.doc_id").select("doc_id", "body", F.array(F.struct("at", "windows")).alias("runs"))
+
+    # where a name has several kinds, a window of a first segment may start earlier in another kind: those are compared one by one
+    firsts = kinds.join(mixed.where("mixed"), "name", "left_semi").select("first.*")
+    lists = materialize(firsts.groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "windows")).alias("items")), "first-segments")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -143,13 +147,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     owned = materialize(owned, "segment-owners")
     covered = lambda at: F.transform(F.filter("found", lambda x: x["smallest"] < F.col("doc_id")), lambda x: F.struct((at + x["index"]).alias("at"), F.lit(1).alias("windows")))
     ones = owned.select("doc_id", "body", covered(F.col("at")).alias("runs"))
-    # the other segments of a kind have the windows of its first one, which may itself be the earlier document
-    more = kinds.where("members > 1").select("name", "kind", F.col("one.doc_id").alias("d"), F.col("one.body").alias("b"), F.col("one.at").alias("a"))
-    others = mixed.join(more, ["name", "kind"]).where("NOT (doc_id = d AND body = b AND at = a)").select("doc_id", "body", F.col("at").alias("place"), "d", "b", "a")
-    of_one = owned.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("at").alias("a"), "found")
-    others = materialize(others, "other-segments").join(of_one, ["d", "b", "a"]).select("doc_id", "body", covered(F.col("place")).alias("runs"))
-    part = ones.unionByName(others).where("size(runs) > 0")
-    return whole.unionByName(part).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # another segment of the first one's own document has the same windows
+    again = held.where("mixed AND doc_id = first.doc_id AND (body <> first.body OR at <> first.at)")
+    again = again.select("doc_id", "body", F.col("at").alias("place"), F.col("first.doc_id").alias("d"), F.col("first.body").alias("b"), F.col("first.at").alias("a"))
+    of_first = owned.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("at").alias("a"), "found")
+    same = again.join(of_first, ["d", "b", "a"]).select("doc_id", "body", covered(F.col("place")).alias("runs"))
+    part = ones.unionByName(same).where("size(runs) > 0")
+    return later.unionByName(part).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _kept_text(words: Words, kept: np.ndarray, docs: int) -> pa.Array:
@@ -173,9 +177,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of ``window`` words that covers it also starts in a
     document with a smaller doc_id; windows are those of the input. Null text
-    becomes the empty text with no words. Rows with null doc_id lose nothing and
+    becomes the empty text with no words; a text under ``window`` words loses nothing; one of any length is worked on
+    whole, in about 30 times its words' 8 bytes. Rows with null doc_id lose nothing and
     cover nothing. Rows that repeat a doc_id are judged each, against smaller
-    ids only. All columns stay; ones named n_words or n_removed are replaced.
+    ids only. All columns stay; ones named n_words or n_removed are replaced. An empty table gives an empty result.
     """
     found = materialize(repeated_windows(docs, window), "repeated-windows")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]

@@ -36,3 +36,16 @@ def test_odd_rows(spark, tmp_path):
         spark.createDataFrame(given, schema).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         assert (corpus_pipeline.run(spark, folder).count() > 0) == bool(given)
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    text = "A good text with words. " * 9
+    rows = [(1, text, "en", "s", 5, 7, 8, 9, "k", 1), (2, text + "more of it all", "en", "s", 5, 17, 18, 19, "l", 2), (3, None, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, n_removed int, copies int, name string, threshold int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} <= {r[5:] for r in rows}, name
+    assert stage is corpus_pipeline.mix and corpus_pipeline.pack(spark, docs, str(tmp_path)).count() == 3
