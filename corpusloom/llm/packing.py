@@ -37,8 +37,8 @@ _tokenizers: dict = {}
 class WordIds:
     """Ids of words that contain no ASCII white space, remembered between blocks.
 
-    The tokenizer splits text at white space before anything else, so the ids
-    of a text are those of its words in turn.
+    The tokenizer must split text at white space before anything else, so that the ids
+    of a text are those of its words in turn; one that does not is refused. Words are known by their 64-bit names.
     """
 
     def __init__(self, path: str):
@@ -47,6 +47,11 @@ class WordIds:
 
         self.model = Tokenizer.from_file(path)
         self.forget()
+        ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        for left, right in (("Some", "words"), ("x", "."), ("1", "2"), ("\u00e9", "\u4e2d")):
+            for gap in (" ", "\n", "\t", "\x0b", "\x0c", "\r", "  ", " \n\n "):
+                if ids(f"{gap}{left}{gap}{right}{gap}") != ids(left) + ids(right):
+                    raise ValueError(f"{path} does not split text at white space alone: {gap!r} changes the ids of {left!r} and {right!r}")
 
     def forget(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -99,7 +104,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     Null text is empty; an empty document is the end id alone. Only documents
     longer than ``capacity`` are cut. Rows with null or repeated doc_id keep
-    their own pieces. Extra columns are ignored.
+    their own pieces. Texts of any length are encoded whole. Extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +197,13 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     gets one count per length, at most ``capacity`` numbers.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
-    total = pieces.count()
+    # the salt is written with the pieces; equal rows of different tasks have different ones, so that no row is so frequent that one task ranks it
+    named = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())
+    written = materialize(pieces.drop("sequence_id", "offset").withColumn("__salt", named), "pieces")
+    total = written.count()
     salts = max(64, total // RANKED_TOGETHER)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = written.withColumn("__salt", F.pmod("__salt", F.lit(salts)).cast("int"))
+    pieces = written.drop("__salt")
     counted = materialize(salted.groupBy("length", "__salt").count(), "lengths")
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("count")).collect()}
     runs, _ = plan_bins(counts, capacity)
@@ -203,7 +211,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     shift = counted.select(F.col("length").alias("__length"), F.col("__salt").alias("__of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(broadcast_if_small(shift, 100_000), (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__of")))
+    ranked = ranked.join(broadcast_if_small(shift), (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__of")))
     ranked = ranked.select(*pieces.columns, (F.col("__rank") + F.col("__shift")).alias("__rank"))
     plan = spark.sparkContext.broadcast(runs)  # a few runs for each length, whatever the input's size
     names = [*pieces.columns, "sequence_id", "offset"]
