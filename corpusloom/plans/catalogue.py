@@ -564,11 +564,24 @@ def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.html_to_blocks(spread(read(spark, sf_dir, "pages").select("page_id", "html")), ["page_id"])
 
 
-@query("""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS links, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS headings FROM pages""")
+@query("""SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS links, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS headings FROM pages""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, links and headings of pages, without parsing."""
-    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), n(r"(?i)<a\s[^>]*href").alias("links"), n(r"(?i)<h1[\s>]").alias("headings"))
+    """Titles, links and headings of pages."""
+    return H.page_outline(spread(read(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
+
+
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')"
+
+
+@query(f"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<head.*?</head>|<script.*?</script>|<style.*?</style>|<title.*?</title>', '', 'g'), '<[^>]*>', ' ', 'g') AS t, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
+SELECT page_id, trim(regexp_replace({_UNESCAPED.format("h")}, '\\s+', ' ', 'g')) AS last_section, length(regexp_replace({_UNESCAPED.format("t")}, '\\s+', '', 'g')) AS characters FROM b""")
+def html_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible text of a page is in its blocks: characters but blanks, section titles once; and the last block's section."""
+    blocks = H.html_to_blocks(spread(read(spark, sf_dir, "pages").select("page_id", "html")), ["page_id"])
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s+", "")).cast("long")
+    of = blocks.groupBy("page_id").agg(F.sum(solid("content")).alias("text"), F.collect_set("section_title").alias("s"), F.max_by("section_title", "block_no").alias("last_section"))
+    return of.select("page_id", "last_section", (F.col("text") + F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + solid(x))).alias("characters"))
 
 
 @query()

@@ -534,3 +534,18 @@ def article_blocks(articles: DataFrame, language: Column | str, translations: Da
         F.col("name").alias("document_title"), "block_no", "section_title", "content", "block_type", "num_tokens", spoken.alias("language"),
         T.block_url("url", "section_title", spoken).alias("url"), V.parse_edit_date("date_modified").alias("last_edit_date"),
     )
+
+
+def page_outline(pages: DataFrame, key: str, html_column: str = "html") -> DataFrame:
+    """(key, title, links, headings): a page's title, its anchors with a target and its first-level headings, by the parser; null pages have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, page in zip(pdf[key], pdf["__html"]):
+                root = parse(page or "")
+                title = next((text_of(n) for n in root.find("title")), "")
+                rows.append((k, title, sum("href" in n.attrs for n in root.find("a")), sum(1 for _ in root.find("h1"))))
+            yield pd.DataFrame(rows, columns=[key, "title", "links", "headings"])
+
+    return pages.select(key, F.col(html_column).alias("__html")).mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, title string, links long, headings long")
