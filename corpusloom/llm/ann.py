@@ -2,17 +2,18 @@
 
 Largest inner product becomes nearest distance by one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm. Each table hashes a vector by
-floor((a.x + b) / w) for several Gaussian a; a query visits its own bucket and
-perturbed ones, in the order in which they are estimated to succeed. Buckets
-are dealt to tasks, a query goes once to each task that holds one of its buckets,
+floor((a.x + b) / w) for several Gaussian a. How a query's neighbours scatter around it is
+measured on a sample: a query then visits, in each table, perturbed buckets in the order of their estimated
+success, the share of its neighbours that fall there, weighed against the share of all vectors that do.
+Buckets are dealt to tasks, a query goes once to each task that holds one of its buckets,
 candidates of all tables merge there, and their exact inner products are ranked.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erf
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,16 @@ from pyspark.sql.window import Window
 from corpusloom.llm._text import mix
 from corpusloom.plans.runtime import broadcast_if_small, materialize
 
-TABLES, FUNCTIONS, PROBES = 6, 8, 600
-#: Bucket widths tried, as shares of the largest norm; the first whose recall on the sample suffices is used.
-WIDTHS = (0.25, 0.35, 0.5, 0.7, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.5, 5.0)
-#: Vectors fitted on at most, and queries among them: neighbours in a sample lie farther off, so recall over all is higher.
-SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_RECALL = 4096, 200, 0.96
+TABLES, FUNCTIONS = 8, 16
+#: Bucket widths tried, from wide to narrow until two in turn are no better, in standard deviations of the sample's projections; and buckets that a query visits in a table at most.
+WIDTHS, PROBES = (1000.0, 4.0, 3.5, 3.0, 2.5, 2.0, 1.0, 0.5), 1000
+#: Of the settings with this recall on the sample's queries, the one that examines the fewest vectors is taken. With fewer than
+#: ``FEW`` vectors for each neighbour wanted, all neighbours must be found.
+SAMPLE_RECALL, FEW = 0.93, 10
+#: Vectors fitted on at most, and queries among them whose true neighbours among all vectors are found for the fit.
+SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 100
+#: Steps to either side that one function may be perturbed by, and how much a bucket's share of all vectors counts against it.
+STEPS, WEIGHT = 2, 0.7
 #: Vectors of one bucket in one task; a larger bucket is cut, and its queries visit every part.
 BUCKET_ROWS = 20_000
 HOT_BUCKETS = 50_000
@@ -35,43 +41,46 @@ HOT_BUCKETS = 50_000
 TASK_ROWS, TASKS = 40_000, 24
 
 
-def probe_order(functions: int, probes: int) -> np.ndarray:
-    """Perturbation sets in estimated order of success, one row each over the 2m steps sorted by distance.
+def _below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution's share below z, from a table."""
+    return np.interp(z, _GRID, _SHARE)
 
-    The expected squared distance of the j-th nearest of 2m boundaries scores a
-    set; a heap yields sets by rising score, without those that move one hash both ways.
+
+_GRID = np.linspace(-8, 8, 3201)
+_SHARE = np.array([0.5 + 0.5 * erf(z / 2**0.5) for z in _GRID])
+
+
+def cheapest_sums(cost: np.ndarray, move: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, move), by rising cost: for each row the ``most`` cheapest ways to pick one of the last axis for every function.
+
+    ``cost`` and ``move`` are rows x functions x choices; what is picked adds up.
     """
-    m = functions
-    j = np.arange(1, 2 * m + 1)
-    near = j * (j + 1) / (4 * (m + 1) * (m + 2))
-    k = 2 * m + 1 - j
-    far = 1 - k / (m + 1) + k * (k + 1) / (4 * (m + 1) * (m + 2))
-    cost = np.where(j <= m, near, far)
-    sets, heap = [()], [(cost[0], (0,))]
-    while heap and len(sets) < probes:
-        score, s = heapq.heappop(heap)
-        if not any(2 * m - 1 - i in s for i in s):
-            sets.append(s)
-        last = s[-1]
-        if last + 1 < 2 * m:
-            heapq.heappush(heap, (score - cost[last] + cost[last + 1], (*s[:-1], last + 1)))
-            heapq.heappush(heap, (score + cost[last + 1], (*s, last + 1)))
-    out = np.zeros((len(sets), 2 * m), np.int64)
-    for row, s in enumerate(sets):
-        out[row, list(s)] = 1
-    return out
+    total, moved = np.zeros((len(cost), 1)), np.zeros((len(cost), 1), np.int64)
+    for j in range(cost.shape[1]):
+        total = (total[:, :, None] + cost[:, j, None, :]).reshape(len(cost), -1)
+        moved = (moved[:, :, None] + move[:, j, None, :]).reshape(len(cost), -1)
+        if total.shape[1] > most:
+            kept = np.argpartition(total, most - 1, axis=1)[:, :most]
+            total, moved = np.take_along_axis(total, kept, axis=1), np.take_along_axis(moved, kept, axis=1)
+    order = np.argsort(total, axis=1, kind="stable")
+    return np.take_along_axis(total, order, axis=1), np.take_along_axis(moved, order, axis=1)
 
 
 @dataclass
 class Index:
-    """The hash functions; fixed by seed, dimension, largest norm and width."""
+    """The hash functions, fixed by seed, dimension, largest component, largest norm and width, and how neighbours scatter."""
 
+    scale: float  # vectors are divided by it before anything is squared
     norm: float
     width: float
     dimension: int
+    mean: np.ndarray | float = 0.0  # of all vectors' projections, by function
+    spread: np.ndarray | float = 1.0
+    pull: float = 1.0  # a neighbour's projection is expected at mean + pull x the query's distance from it
+    scatter: float = 0.1  # around that, as a share of the spread
+    probes: int = 100
     tables: int = TABLES
     functions: int = FUNCTIONS
-    probes: int = PROBES
     seed: int = 7
 
     def __post_init__(self) -> None:
@@ -80,10 +89,17 @@ class Index:
         self.b = rng.uniform(0, 1, self.tables * self.functions)
         self.names = rng.integers(-(2**62), 2**62, self.tables * self.functions) | 1
         self.salts = rng.integers(-(2**62), 2**62, self.tables)
-        self.order = probe_order(self.functions, self.probes)
 
-    def _project(self, x: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        return (x @ self.a[:-1] + extra[:, None] * self.a[-1]) / (self.width * self.norm) + self.b
+    def project(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.scale / self.norm
+        return x @ self.a[:-1] + np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))[:, None] * self.a[-1]
+
+    def project_queries(self, q: np.ndarray) -> np.ndarray:
+        q = q / np.abs(q).max(axis=1, keepdims=True)
+        return (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ self.a[:-1]
+
+    def _cells(self, p: np.ndarray) -> np.ndarray:
+        return np.floor(p / self.width + self.b).astype(np.int64)
 
     def _keys(self, cells: np.ndarray) -> np.ndarray:
         named = (cells * self.names).reshape(len(cells), self.tables, self.functions)
@@ -91,62 +107,117 @@ class Index:
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """The bucket of each vector in each table."""
-        extra = np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))
-        return self._keys(np.floor(self._project(x, extra)).astype(np.int64))
+        return self._keys(self._cells(self.project(x)))
 
     def visits(self, q: np.ndarray) -> np.ndarray:
-        """The buckets that each query visits, all tables side by side."""
-        q = q * (self.norm / np.sqrt((q * q).sum(axis=1)))[:, None]
-        p = self._project(q, np.zeros(len(q)))
-        cells = np.floor(p)
-        keys = self._keys(cells.astype(np.int64))
-        inside = (p - cells).reshape(len(q), self.tables, self.functions)
-        steps = self.names.reshape(self.tables, self.functions)
-        out = []
+        """The buckets that each query visits: its own, then perturbed ones, best first: queries x tables x (1 + probes)."""
+        p = self.project_queries(q)
+        centre = self.mean + self.pull * (p - self.mean)
+        home = self._cells(centre)
+        steps = np.arange(-STEPS, STEPS + 1)
+        low = (home[:, :, None] + steps - self.b[:, None]) * self.width
+        wide = lambda mean, spread: _below((low + self.width - mean) / spread) - _below((low - mean) / spread)
+        spread = np.broadcast_to(self.spread, self.b.shape)[:, None]
+        near = wide(centre[:, :, None], self.scatter * spread)
+        all_ = wide(np.broadcast_to(self.mean, self.b.shape)[:, None], spread)
+        cost = WEIGHT * np.log(all_ + 1e-9) - np.log(near + 1e-9)
+        keys, out, own_keys = self._keys(home), [], self.buckets(q)
         for t in range(self.tables):
-            distance = np.concatenate([inside[:, t], 1 - inside[:, t]], axis=1)
-            order = np.argsort(distance, axis=1, kind="stable")
-            move = np.concatenate([-steps[t], steps[t]])[order]
-            out.append(keys[:, t, None] + move @ self.order.T)
-        return np.concatenate(out, axis=1)
-
-
-def _recall(index: Index, x: np.ndarray, queries: np.ndarray, k: int) -> float:
-    exact = x[queries] @ x.T
-    exact[np.arange(len(queries)), queries] = -np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return 1.0
-    best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
-    buckets, visits = index.buckets(x), np.sort(index.visits(x[queries]), axis=1)
-    found = 0
-    for row, near in zip(visits, best):
-        keys = buckets[near]
-        found += (row[np.minimum(np.searchsorted(row, keys), len(row) - 1)] == keys).any(axis=1).sum()
-    return found / best.size
+            own = slice(t * self.functions, (t + 1) * self.functions)
+            move = steps * self.names[own, None]
+            _, moved = cheapest_sums(cost[:, own], np.broadcast_to(move, (len(q), *move.shape)), self.probes)
+            out.append(np.concatenate([own_keys[:, t, None], keys[:, t, None] + moved], axis=1))
+        return np.stack(out, axis=1)
+
+
+def _true_neighbours(vectors: DataFrame, queries: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query's place, neighbour) of the ``k`` largest inner products among all of ``vectors`` (item, v), by one pass over them."""
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast((queries, items))  # SAMPLE_QUERIES vectors at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = sent.value
+        held: list[np.ndarray] = [np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)]
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                item = np.asarray(part.column(0))
+                score = q @ _matrix(part.column(1), part.num_rows).T
+                score[own[:, None] == item[None, :]] = -np.inf
+                score, item = np.concatenate([held[0], score], axis=1), np.concatenate([held[1], np.broadcast_to(item, score.shape)], axis=1)
+                if score.shape[1] > k:
+                    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, item = np.take_along_axis(score, top, axis=1), np.take_along_axis(item, top, axis=1)
+                held = [score, item]
+        some = np.isfinite(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(some)[0]), pa.array(held[1][some]), pa.array(held[0][some])], ["query", "item", "score"])
+
+    found = vectors.select("item", "v").mapInArrow(run, "query long, item long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    found = materialize(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query", "item"), "sample-neighbours")
+    rows = vectors.join(F.broadcast(found), "item").select("query", "v").toArrow()  # SAMPLE_QUERIES x k rows
+    return np.asarray(rows["query"]), _matrix(rows["v"].combine_chunks(), rows.num_rows)
 
 
 def fit_index(vectors: DataFrame, k: int) -> Index | None:
-    """Choose the bucket width on a bounded sample (``SAMPLE_ROWS`` vectors of the smallest hashes); None without vectors."""
-    norm = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()[0]
-    if not norm:
+    """Measure how neighbours scatter and choose width and probes, on a bounded sample; None without vectors.
+
+    ``vectors`` is (item, v). The sample are the ``SAMPLE_ROWS`` vectors of the smallest hashes; the neighbours of
+    ``SAMPLE_QUERIES`` of them are sought among all vectors, so recall is measured at the input's own density.
+    """
+    scale = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double")))))).first()[0]
+    if not scale:
         return None
-    rows = vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("v").toArrow()
-    x = np.asarray(rows["v"].combine_chunks().flatten()).astype(float).reshape(rows.num_rows, -1)
-    queries = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
-    for width in WIDTHS:
-        index = Index(norm, width, x.shape[1])
-        if _recall(index, x, queries, k) >= SAMPLE_RECALL:
-            break
+    norm = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x / scale))))).first()[0]
+    rows = vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("item", "v").toArrow()
+    x, items = _matrix(rows["v"].combine_chunks(), rows.num_rows), np.asarray(rows["item"])
+    some = np.unique(np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int))
+    of, near = _true_neighbours(vectors, x[some], items[some], k)
+    index = Index(scale, norm, 1.0, x.shape[1], probes=PROBES)
+    p, q = index.project(x), index.project_queries(x[some])
+    index.mean, index.spread = p.mean(axis=0), np.maximum(p.std(axis=0), 1e-6)
+    best = None
+    if len(near):
+        base, there = ((q[of] - index.mean) / index.spread).ravel(), ((index.project(near) - index.mean) / index.spread).ravel()
+        index.pull = float((base @ there) / max(base @ base, 1e-12))
+        index.scatter = float(max(np.sqrt(((there - index.pull * base) ** 2).mean()), 1e-3))
+        need = int(np.ceil(len(near) * (SAMPLE_RECALL if len(x) >= FEW * k else 1.0)))
+        worse = 0
+        for width in WIDTHS:
+            index.width = width * float(np.median(index.spread))
+            buckets, hits = index.buckets(x), index.buckets(near)
+            visits = index.visits(x[some])
+            met = np.concatenate([first_visit(v, hits[of == i]) for i, v in enumerate(visits)])
+            probes = int(np.partition(met, need - 1)[need - 1])  # the own bucket is the first of 1 + probes
+            enough = probes <= PROBES
+            probes = min(probes, PROBES)
+            share = np.mean([(first_visit(v, buckets) <= probes).mean() for v in visits])
+            fit = (not enough, share if enough else -(met <= probes).mean(), index.width, max(probes, 1))
+            worse = 0 if best is None or fit < best else worse + 1
+            best = min(best or fit, fit)
+            if worse == 2:
+                break
+    index.width, index.probes = best[2:] if best else (float(np.median(index.spread)), 1)
     return index
 
 
+def first_visit(visits: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """For each vector (a row of buckets by table) how many buckets of a table one query (a row of buckets by table) visits before it meets it; a large number if it never does."""
+    out = np.full(len(buckets), 1 << 40)
+    for t, row in enumerate(visits):
+        order = np.argsort(row, kind="stable")
+        at = order[np.minimum(np.searchsorted(row[order], buckets[:, t]), len(row) - 1)]
+        out = np.where(row[at] == buckets[:, t], np.minimum(out, at), out)
+    return out
+
+
 def clean_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, v): usable vectors, one for each id.
 
     Null, empty and zero vectors and those holding null or non-finite
     components take no part, nor do rows with null id or with another length than
     most vectors have (the longer of equals). Of rows that repeat an id the one with the smallest vector stays.
+    Extra columns are ignored, whatever their names; an empty table gives an empty one.
     """
     v = F.col(vector_column)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -201,10 +272,7 @@ def rank_task(v: np.ndarray, v_keys: tuple[np.ndarray, np.ndarray], q: np.ndarra
             parts.append((who[i], rows[j], score[i, j]))
             held += len(i)
         if held > 400_000:
-            before = held
             squeeze()
-            if held > before // 2:
-                continue
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     squeeze()
@@ -215,14 +283,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
     """query_id, rank, vec_id, score: each query's ``k`` largest inner products found among ``vectors``, but for its own id.
 
     Both inputs are (id, v) as ``clean_vectors`` gives them. Equal vectors are
-    searched as one and named by their smallest ids, so a vector of any
-    frequency costs one entry. Ties go to the smaller vec_id. No vectors or no queries give an empty result.
+    searched as one and named by their smallest ids, and equal queries are asked once, so a vector of any
+    frequency costs one entry on either side. Ties go to the smaller vec_id. No vectors or no queries give an empty result.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     few = Window.partitionBy("v").orderBy("id")
     classes = vectors.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     classes = materialize(classes.select("v", "ids", F.element_at("ids", 1).alias("item")), "vector-classes")
+    asked = materialize(queries.groupBy("v").agg(F.min("id").alias("id")), "query-classes")
+    members = materialize(queries.join(asked.withColumnRenamed("id", "asked"), "v").select(F.col("id").alias("query_id"), "asked"), "query-members")
     index = index or fit_index(classes, k)
     if index is None:
         return spark.createDataFrame([], schema)
@@ -235,7 +305,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
             yield pa.RecordBatch.from_arrays([pa.array(index.buckets(_matrix(b.column(0), b.num_rows)).ravel())], ["bucket"])
 
     counted = classes.select("v").mapInArrow(hashed, "bucket long").groupBy("bucket").count().where(F.col("count") > limit)
-    hot = spark.sparkContext.broadcast({r["bucket"]: -(-r["count"] // limit) for r in counted.collect()})
+    hot = spark.sparkContext.broadcast({r["bucket"]: -(-r["count"] // limit) for r in counted.collect()})  # fewer than HOT_BUCKETS
 
     def task_of(bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
         return (mix(bucket.view(np.uint64) ^ mix(part.astype(np.uint64) + np.uint64(1))) % np.uint64(tasks)).astype(np.int32)
@@ -243,10 +313,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
     def deal(is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    b = whole.slice(at, 500)
+                for at in range(0, whole.num_rows, 200):
+                    b = whole.slice(at, 200)
                     x = _matrix(b.column(1), b.num_rows)
-                    keys = index.visits(x) if is_query else index.buckets(x)
+                    keys = index.visits(x).reshape(len(x), -1) if is_query else index.buckets(x)
                     row = np.repeat(np.arange(len(keys)), keys.shape[1])
                     key, part = keys.ravel(), np.zeros(keys.size, np.int64)
                     if hot.value:
@@ -270,7 +340,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
 
     kind = vectors.schema["v"].dataType.simpleString()
     row_schema = f"task int, is_query boolean, id long, v {kind}, keys array<long>"
-    entries = classes.select("item", "v").mapInArrow(deal(False), row_schema).unionByName(queries.select("id", "v").mapInArrow(deal(True), row_schema))
+    entries = classes.select("item", "v").mapInArrow(deal(False), row_schema).unionByName(asked.select("id", "v").mapInArrow(deal(True), row_schema))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: dict[bool, list] = {False: [], True: []}
@@ -292,10 +362,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, index: Index |
     found = found.groupBy("query_id", "item").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    named = found.join(broadcast_if_small(classes.where("size(ids) > 1").select("item", "ids"), 50_000), "item", "left")
-    each = named.select("query_id", "score", F.explode(F.coalesce("ids", F.array("item"))).alias("vec_id")).where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    named = found.join(broadcast_if_small(classes.where("size(ids) > 1").select("item", "ids")), "item", "left")
+    each = named.select(F.col("query_id").alias("asked"), "score", F.explode(F.coalesce("ids", F.array("item"))).alias("vec_id"))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    each = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)  # one of them may be the query itself
+    lists = materialize(each.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found")), "found-lists")
+    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    ranked = members.join(lists, "asked").select("query_id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def _gather(parts: list) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -65,8 +67,49 @@ def test_hot_buckets_are_cut(spark, monkeypatch):
     assert hits >= 0.9 * 5 * len(want)
 
 
-def test_probe_order():
-    order = ann.probe_order(4, 40)
-    assert order[0].sum() == 0 and order[1].tolist() == [1, 0, 0, 0, 0, 0, 0, 0]
-    assert len({tuple(r) for r in order.tolist()}) == len(order)
-    assert all(not (r[i] and r[7 - i]) for r in order.tolist() for i in range(4))
+def test_cheapest_sums():
+    rng = np.random.default_rng(4)
+    cost, move = rng.uniform(size=(3, 4, 5)), rng.integers(-99, 99, (3, 4, 5))
+    total, moved = ann.cheapest_sums(cost, move, 40)
+    for i in range(3):
+        every = sorted((sum(cost[i, j, c] for j, c in enumerate(pick)), sum(move[i, j, c] for j, c in enumerate(pick))) for pick in itertools.product(range(5), repeat=4))[:40]
+        assert np.allclose(total[i], [e for e, _ in every]) and moved[i].tolist() == [m for _, m in every]
+
+
+def test_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 4))
+    for factor in (1e-180, 1e150):
+        rows = [(i, [float(a) * factor for a in v]) for i, v in enumerate(x)]
+        t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        vectors = ann.clean_vectors(t, "vec_id", "embedding")
+        got = ann.nearest(vectors.where("id % 20 = 0"), vectors, 5).collect()
+        assert len(got) == 10 and {r.query_id for r in got} == {0, 20}
+
+
+def test_equal_queries_are_asked_once_and_answered_each(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(a) for a in rng.normal(size=6).astype(np.float32)]) for i in range(60)] + [(100 + i, [3.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for i in range(50)]
+    got = search(spark, [(i, v, "x", 1) for i, v in rows], 5)
+    want = exact(rows, 5)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(found[q] == [j for _, j in want[q]] for q in (100, 120, 140))
+
+
+def test_clustered_vectors_need_few_candidates(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24)) * 3
+    x = np.concatenate([c + rng.normal(size=(60, 24)) * 0.3 for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = ann.clean_vectors(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = ann.fit_index(vectors.withColumnRenamed("id", "item"), 20)
+    queries = np.arange(0, len(x), 20)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-score, 19, axis=1)[:, :20]
+    buckets, visits = index.buckets(x), index.visits(x[queries])
+    met = np.stack([ann.first_visit(v, buckets) <= index.probes for v in visits])
+    assert np.take_along_axis(met, best, axis=1).mean() >= 0.9
+    assert met.mean() < 0.15
