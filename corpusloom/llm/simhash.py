@@ -250,7 +250,7 @@ def _tiles(key: np.ndarray, fp: np.ndarray, kind: np.ndarray, hot: dict[int, int
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint long, component_id: the smallest doc_id that links reach, for every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows with null
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are whole. Rows with null
     doc_id take part and get the smallest id of the others (null if
     there is none); repeated rows stay repeated. Extra columns are ignored; an empty
     table gives an empty result.
@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFram
     printed = materialize(fingerprints(docs, width, seed), "fingerprints")
     classes = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")), "fingerprint-classes")
     linked = connected_components(near_links(classes))
+    # written before they are joined: then both sides have exchanges of their own and a large component is split
     named = classes.join(linked, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component"))
-    groups = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    named = materialize(named, "fingerprints-by-component")
+    groups = materialize(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "components")
     found = materialize(named.join(groups, "component").select(F.col("fingerprint").alias("__of"), "component_id"), "fingerprint-components")
     return printed.join(broadcast_if_small(found), F.col("fingerprint") == F.col("__of"), "left").select("doc_id", "fingerprint", "component_id")
 
@@ -272,7 +274,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows of one doc_id in one group are one. Rows with null doc_id stay, once, only where their group has no other row.
     """
     found = materialize(near_components(docs), "near-duplicates")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
     groups = materialize(found.join(least, "component"), "near-duplicate-groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"))
     several = broadcast_if_small(materialize(ids.where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids"))
