@@ -879,6 +879,54 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.zip_rows(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "benchmark").select("item_id"), [F.col("doc_id")], [F.desc("item_id")])
 
 
+@query("SELECT count(*) AS files, sum(p_size * 1000)::BIGINT AS bytes, round(sum(p_size * 1000) / 1e9, 9)::DOUBLE AS gigabytes FROM part")
+def dump_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of an index page's lines."""
+    line = F.concat(F.lit('<a href="'), "p_name", F.lit('">x</a> 01-Jan-2024 10:00   '), F.col("p_size") * 1000)
+    lines = read(spark, sf_dir, "part").select(line.alias("value")).unionByName(spark.createDataFrame([("<hr>",), ("",)], "value string"))
+    return A.dump_sizes(lines).withColumn("gigabytes", F.round("gigabytes", 9))
+
+
+@query("SELECT max(release) AS release FROM (SELECT strftime(o_orderdate, '%Y-%m') AS release, count(*) AS files FROM orders GROUP BY 1) WHERE files >= 17")
+def latest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest month with enough files."""
+    releases = read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("release")).agg(F.count("*").alias("files"))
+    return A.latest_complete(releases, 17)
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, round(1 - i / n::DOUBLE, 9) AS score FROM c""")
+def list_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that follow a ranked list's order."""
+    lists = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list("turn"))).alias("ranked"))
+    both = F.arrays_zip(F.col("ranked").alias("turn"), RR.list_scores("ranked").alias("score"))
+    return lists.select("conv_id", F.inline(both).alias("turn", "score")).withColumn("score", F.round("score", 9))
+
+
+@query("""
+WITH c AS (SELECT conv_id, arg_min(text, turn) AS said FROM conversations GROUP BY 1), n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation)
+SELECT conv_id AS dialogue_id, said || '|more ' || said AS asked, 'Both [2], not [1].' AS agent_utterance, (SELECT string_agg(n_name, '|' ORDER BY k) FROM n WHERE k IN (1, 4)) AS cited FROM c""")
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn graph with deterministic models: queries and a claim, results de-duplicated across both, some without findings, citations renumbered."""
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("dialogue_id")).agg(F.min_by("text", "turn").alias("utterance")).withColumn("history", F.col("utterance"))
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("title"), F.lit("https://a.org").alias("url"), F.concat_ws(" ", "n_name", "n_nationkey").alias("content"))
+    numbered = O.with_global_index(nations, [F.col("k")], "place")
+
+    def search(queries: DataFrame, depth: int) -> DataFrame:
+        # a claim finds what its query found, from the second on
+        first = F.when(F.col("query_id").startswith("llm_claims"), 1).otherwise(0)
+        found = queries.select("query_id", F.explode(F.sequence(first.cast("long"), (first + depth - 1).cast("long"))).alias("place"), first.alias("first"))
+        return found.join(F.broadcast(numbered), "place").select("query_id", (F.col("place") - F.col("first") + 1).alias("rank"), "title", "url", "content")
+
+    hooks = D.Hooks(
+        queries=lambda h: F.array(h, F.concat(F.lit("more "), h)), claims=lambda h: F.array(h), draft=lambda h, passages: F.lit("Both [3], not [1]."),
+        summary=lambda u, content: F.when(content.endswith(" 2"), "None").otherwise(F.concat(F.lit("- "), content)),
+    )
+    out = D.run_turns(turns, search, hooks, D.Config(query_pre=2, query_post=2, claim_pre=3, claim_post=3))
+    return out.select("dialogue_id", F.array_join("search_query", "|").alias("asked"), "agent_utterance", F.array_join(F.transform("references", lambda r: r["title"]), "|").alias("cited"))
+
+
 # ---- streaming, checked against the same windows over the table
 
 

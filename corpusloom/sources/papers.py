@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
-from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators.blocks import pack_blocks

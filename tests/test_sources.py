@@ -181,3 +181,19 @@ def test_papers(spark):
     assert got == [("My Title Here", "Abstract", "Abstract words"), ("My Title Here", "1. Intro", "first para\n\nsecond para"), ("My Title Here", "Method", "third para"), ("My Title Here", "", "my title\n\n here")]
     packed = P.paper_blocks(df, pack_to=100)
     assert packed.count() == 4
+
+
+def test_paper_files(spark, tmp_path):
+    for name, ids in (("p1", range(5)), ("p2", range(5, 8))):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps({"corpusid": i, "externalids": {"arxiv": "x" if i % 2 else ""}}) for i in ids))
+    schema = "corpusid long, externalids map<string,string>"
+    read = lambda **options: sorted(r.corpusid for r in A.read_papers(spark, f"file://{tmp_path}/p*.json", schema, **options).collect())
+    assert read() == list(range(8)) and read(subset="arxiv") == [1, 3, 5, 7] and read(limit=2) == [0, 1, 5, 6] and read(subset="acl") == []
+
+
+def test_template_lists(spark):
+    table = spark.createDataFrame([("pt", "Desambiguação"), ("pt", "Dab")], "language string, template string")
+    names = A.template_names(table)
+    assert names[-1] == "desambiguação" and len(names) == len(set(names)) and A.template_names() == A.DISAMBIGUATION_TEMPLATES
+    d = spark.createDataFrame([(["Desambiguação"],)], "t array<string>")
+    assert d.select(A.is_disambiguation("t", F.lit("x"), F.lit(""), names)).first()[0] and not d.select(A.is_disambiguation("t", F.lit("x"), F.lit(""))).first()[0]
