@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm import recompression
 from corpusloom.llm._text import Words, blocks, buffers, mix, words_of
-from corpusloom.plans.runtime import materialize
+from corpusloom.plans.runtime import free, materialize
 
 WINDOW = 50
 #: Document ids that are broadcast to pick documents; with more, texts are joined by shuffle.
@@ -112,6 +112,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = parts.groupBy("name").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).where("smallest < largest").select("name")
     names = materialize(names, "shared-names")  # written, so that the join has exchanges of its own, and a hot name's rows are split
     shared = materialize(parts.join(names, "name").distinct(), "shared-segments")  # rows that repeat a document count once
+    free(parts, names)
 
     # all segments of a kind have the same windows: in a document after the first one of the kind each of them starts earlier
     kinds = materialize(shared.groupBy("name", "kind", "check").agg(F.min(F.struct("doc_id", "body", "at", "windows")).alias("first")), "segment-kinds")
@@ -145,6 +146,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = materialize(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")), "first-windows")
     owned = windows.join(first, ["w0", "w1"]).groupBy("doc_id", "body", "at").agg(F.collect_list(F.struct("index", "smallest")).alias("found"))
     owned = materialize(owned, "segment-owners")
+    free(windows, first)
     covered = lambda at: F.transform(F.filter("found", lambda x: x["smallest"] < F.col("doc_id")), lambda x: F.struct((at + x["index"]).alias("at"), F.lit(1).alias("windows")))
     ones = owned.select("doc_id", "body", covered(F.col("at")).alias("runs"))
     # another segment of the first one's own document has the same windows
