@@ -6,12 +6,27 @@ Words are maximal runs of bytes other than the six ASCII white-space bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
+
+def one_matrix_thread() -> None:
+    """Let numpy's matrix products use one thread: Spark runs a task on every core, and waiting threads of small products would burn the others' time."""
+    maps = Path("/proc/self/maps")
+    for lib in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(loaded := ctypes.CDLL(lib), name):
+                getattr(loaded, name)(1)
+                break
+
+
+one_matrix_thread()
+
 #: Text bytes worked on at a time; one document is never split, so a longer one is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -103,18 +118,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into row ranges of about ``size`` text bytes."""
+    """Cut Arrow batches evenly into row ranges of about ``size`` text bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
+        share = offsets[-1] / max(1, round(offsets[-1] / size))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + share, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-
-
-def strings(parts: list[bytes]) -> pa.Array:
-    """A string column from UTF-8 bytes."""
-    return pa.array(parts, pa.binary()).cast(pa.string())

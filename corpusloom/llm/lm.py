@@ -14,6 +14,7 @@ tokens through an exchange.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._text import Words, blocks, buffers, mix, words_of
+from corpusloom.llm._text import Words, blocks, buffers, words_of
 from corpusloom.plans.runtime import materialize
 
-WORDS, DIMENSION, ROUNDS, NOISE, BATCH, STEP = 2048, 32, 2, 64, 4096, 0.08
+WORDS, DIMENSION, ROUNDS, NOISE, BATCH, STEP = 4096, 32, 1, 128, 256, 0.08
 #: Tokens that a training task gathers before it takes steps; equal ones among them cost one row.
-TOKENS_TOGETHER = 2_000_000
+TOKENS_TOGETHER = 200_000
 #: Words whose counts are broadcast to the scoring tasks, the commonest; counts of the rest are joined by shuffle.
 BROADCAST_WORDS = 1_000_000
 #: The name of the end token, which no word has (up to a collision of 64-bit hashes).
@@ -118,13 +119,13 @@ def sequences(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
 class Trainer:
     """Noise-contrastive steps with per-coordinate rates; noise words are shared by a batch."""
 
-    def __init__(self, parameters: Parameters, vocabulary: Vocabulary, noise: int, step: float, seed: int):
+    def __init__(self, parameters: Parameters, vocabulary: Vocabulary, noise: int, step: float, seed: int, rows: int):
         self.p = Parameters(*(x.copy() for x in vars(parameters).values()))
         self.past = [np.full_like(x, 1e-2) for x in vars(self.p).values()]
         self.rng = np.random.default_rng(seed)
         share = (vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()
         self.edges, self.log_noise = np.cumsum(share), np.log(share * noise).astype(np.float32)
-        self.noise, self.step = noise, step
+        self.noise, self.step, self.rows = noise, step, rows
         self.seen = 0
 
     def _apply(self, which: int, rows: np.ndarray | None, grad: np.ndarray) -> None:
@@ -145,8 +146,8 @@ class Trainer:
         side = self.p.context.shape[0]
         keys, count = np.unique(keys, return_counts=True)
         order = self.rng.permutation(len(keys))
-        for at in range(0, len(keys), BATCH):
-            some = order[at : at + BATCH]
+        for at in range(0, len(keys), self.rows):
+            some = order[at : at + self.rows]
             rest, far = np.divmod(keys[some], side)
             w, near = np.divmod(rest, side)
             self.batch(w, near, far, count[some].astype(np.float32))
@@ -175,22 +176,30 @@ class Trainer:
 
 
 class Scorer:
-    """log10 probabilities by table: every context's normaliser comes from one matrix product."""
+    """log10 probabilities: every context's normaliser comes from one matrix product, a token's score from its own vectors."""
 
     def __init__(self, p: Parameters):
-        one, two = (p.context * p.near) @ p.target.T, (p.context * p.far) @ p.target.T
-        top, over = one.max(axis=1), two.max(axis=1)
-        right = (np.exp(two - over[:, None], dtype=np.float64) * np.exp(p.bias.astype(np.float64))).T
-        self.norm = np.empty((len(one), len(two)), np.float32)
-        for at in range(0, len(one), 256):  # in rows, so that only one table is held in double precision
+        self.target, self.bias = p.target, p.bias
+        self.near, self.far = p.context * p.near, p.context * p.far
+        right = self.far @ p.target.T + p.bias
+        over = right.max(axis=1)
+        right -= over[:, None]
+        np.exp(right, out=right)
+        self.norm = np.empty((len(self.near), len(self.far)), np.float32)
+        for at in range(0, len(self.near), 256):  # in rows, so that two tables are held at most
             rows = slice(at, at + 256)
-            product = np.exp(one[rows] - top[rows, None], dtype=np.float64) @ right
-            self.norm[rows] = np.log(np.maximum(product, 1e-300)) + top[rows, None] + over[None, :]
-        one += p.bias
-        self.one, self.two = one, two
+            left = self.near[rows] @ p.target.T
+            top = left.max(axis=1)
+            left -= top[:, None]
+            self.norm[rows] = np.log(np.maximum(np.exp(left, out=left) @ right.T, 1e-37)) + top[:, None] + over[None, :]
 
     def log10(self, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return (self.one[near, w].astype(np.float64) + self.two[far, w] - self.norm[near, far]) / np.log(10)
+        out = np.empty(len(w))
+        for at in range(0, len(w), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            own = np.einsum("ij,ij->i", self.near[near[some]] + self.far[far[some]], self.target[w[some]])
+            out[some] = own.astype(np.float64) + self.bias[w[some]] - self.norm[near[some], far[some]]
+        return out / np.log(10)
 
 
 def word_counts(docs: DataFrame, held: Column) -> DataFrame:
@@ -248,8 +257,11 @@ def build_vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
     return Vocabulary(names[order], np.arange(len(names))[order], np.concatenate([count, mass]), mass + kinds + 1, int(tokens), int(distinct))
 
 
-def train(docs: DataFrame, held: Column, vocabulary: Vocabulary, rounds: int = ROUNDS, dimension: int = DIMENSION, noise: int = NOISE, step: float = STEP) -> Parameters:
-    """Rounds over all training texts; between rounds only sums of steps travel, cut into slices, and only one vector of parameters reaches the driver."""
+def train(docs: DataFrame, held: Column, vocabulary: Vocabulary, rounds: int = ROUNDS, dimension: int = DIMENSION, noise: int = NOISE, step: float = STEP, batch_rows: int = BATCH) -> Parameters:
+    """Rounds over all training texts; between rounds only sums of steps travel, cut into slices, and only one vector of parameters reaches the driver.
+
+    A task's steps follow its own rows, so the parameters depend, slightly, on how the input is split into tasks.
+    """
     spark = docs.sparkSession
     shared = Parameters.fresh(vocabulary, dimension)
     texts = docs.where(~held).select(F.coalesce("text", F.lit("")).alias("text"))
@@ -258,7 +270,7 @@ def train(docs: DataFrame, held: Column, vocabulary: Vocabulary, rounds: int = R
 
         def run(batches: Iterator[pa.RecordBatch], number=number, sent=sent) -> Iterator[pa.RecordBatch]:
             parameters, words = sent.value
-            trainer = Trainer(parameters, words, noise, step / (1 + number), seed=number)
+            trainer = Trainer(parameters, words, noise, step / (1 + number), number, batch_rows)
             held: list[np.ndarray] = []
             for batch in blocks(batches):
                 w, near, far, _ = sequences(words_of(*buffers(batch.column(0)), lower=True), words)
@@ -298,8 +310,8 @@ def score_texts(docs: DataFrame, remainder_of: int = 7, held_at: int = 2, words:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Null text is empty: its one token is the end. A null doc_id is the empty text for
-    the fold, so it trains. Repeated rows are counted and scored each; extra
-    columns are ignored. Without training texts both scores come from smoothing alone; an empty table gives an empty result.
+    the fold, so it trains. Texts of any length are read whole; equal texts score equally.
+    Repeated rows are counted and scored each; extra columns are ignored, whatever their names. Without training texts both scores come from smoothing alone; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(remainder_of)) == held_at
@@ -317,7 +329,7 @@ def score_texts(docs: DataFrame, remainder_of: int = 7, held_at: int = 2, words:
     known = counts.where(F.col("count") >= least).select("word", "count").toArrow()
     order = np.argsort(np.asarray(known["word"]).astype(np.int64).view(np.uint64))
     table = (np.asarray(known["word"]).astype(np.int64).view(np.uint64)[order], np.asarray(known["count"]).astype(np.int64)[order])
-    tag = f"{spark.sparkContext.applicationId}-{id(parameters)}-{least}-{vocabulary.tokens}"
+    tag = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast((tag, parameters, vocabulary, table))  # at most BROADCAST_WORDS counts
     base_norm = float(np.log10(vocabulary.tokens + vocabulary.distinct + 1))
 

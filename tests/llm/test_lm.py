@@ -3,8 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusloom.llm import lm
+from corpusloom.llm._text import buffers, words_of
 
 
 def tokens(text):
@@ -50,8 +53,6 @@ def test_without_training_texts(spark):
 def test_probabilities_are_normalised(spark):
     rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(30))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     held = F.lit(False)
     counts = lm.word_counts(docs, held)
     v = lm.build_vocabulary(counts, 8)
@@ -68,3 +69,46 @@ def test_probabilities_are_normalised(spark):
     for k in range(lm.CLASSES):
         inside = sum(r["count"] + 1 for w, r in words.items() if r["class"] == k and w not in own) + 1
         assert inside == v.class_total[k]
+
+
+def test_score_against_brute_force(spark):
+    """The query's scores, token by token, from the parameters alone: a softmax over all symbols, then the share inside a class."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{min(int(rng.zipf(1.5)), 90)}" for _ in range(int(rng.integers(0, 80))))) for i in range(60)] + [(70, None), (71, "w1 unseen Ünseen w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    counts = lm.word_counts(docs, held)
+    v = lm.build_vocabulary(counts, 20)
+    p = lm.train(docs, held, v)
+    names = {n: i for n, i in zip(v.names.tolist(), v.index.tolist())}
+    count = {r["word"] & (2**64 - 1): r["count"] for r in counts.collect()}
+    start = v.size
+
+    def score(text):
+        words = words_of(*buffers(pa.array([text or ""])), lower=True)
+        kinds = [*lm.word_class(words).tolist(), 0]
+        total, before, far = 0.0, start, start
+        for name, kind in zip([*words.hashes().tolist(), int(lm.END)], kinds):
+            symbol = names.get(name, len(v.names) + kind)
+            context = p.context[before].astype(float) * p.near + p.context[far].astype(float) * p.far
+            logits = [float(context @ p.target[j]) + float(p.bias[j]) for j in range(v.size)]
+            total += (logits[symbol] - math.log(sum(map(math.exp, logits)))) / math.log(10)
+            if symbol >= len(v.names):
+                total += math.log10((count.get(name, 0) + 1) / v.class_total[kind])
+            before, far = symbol, before
+        return total
+
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, words=20).collect()}
+    for d, text in rows:
+        assert abs(got[d] - score(text)) < 1e-3 + 1e-5 * abs(got[d])
+
+
+def test_a_long_text_and_a_second_model(spark):
+    rows = [(i, "a b c " * 50) for i in range(20)] + [(99, "a b c " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.doc_id: r.score for r in lm.score_texts(docs, words=10).collect()}
+    assert math.isfinite(first[99])
+    other = docs.withColumn("text", F.regexp_replace("text", "b", "x y z"))
+    second = {r.doc_id: r.score for r in lm.score_texts(other, words=10).collect()}  # workers are reused, the model is not
+    alone = {r.doc_id: r.score for r in lm.score_texts(other, words=10).collect()}
+    assert second == alone and second != first
