@@ -14,6 +14,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class WordIds:
             found = [e.ids for e in self.model.encode_batch_fast([words.text(i).decode() for i in first[~known]], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             n = len(self.offsets) - 1
-            self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum())])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
             where = np.searchsorted(self.keys, new)
             self.keys, self.places = np.insert(self.keys, where, new), np.insert(self.places, where, np.arange(n, n + len(new)))
