@@ -113,3 +113,58 @@ def test_clustered_vectors_need_few_candidates(spark):
     met = np.stack([ann.first_visit(v, buckets) <= index.probes for v in visits])
     assert np.take_along_axis(met, best, axis=1).mean() >= 0.9
     assert met.mean() < 0.15
+
+
+def test_vectors_without_structure_are_stored_twice_and_met_by_few_keys(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, v array<float>")
+    index = ann.fit_index(vectors, 20)
+    x = x.astype(np.float64)
+    queries = np.arange(0, len(x), 40)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-score, 19, axis=1)[:, :20]
+    buckets, visits = index.buckets(x), index.visits(x[queries])
+    met = np.stack([ann.first_visit(v, buckets) <= index.probes for v in visits])
+    assert np.take_along_axis(met, best, axis=1).mean() >= 0.9 and met.mean() < 0.65
+    assert buckets.shape[1] <= 2 and visits[0].size <= 1000
+
+
+def test_floors_and_single_precision_lose_nothing(spark):
+    rng = np.random.default_rng(10)
+    for factor in (1.0, 1e-30, 1e120):
+        v = rng.normal(size=(700, 12)) * factor
+        v[300:600] = v[0] * (1 + rng.normal(size=(300, 12)) * 1e-9)  # apart in double precision alone
+        q = np.concatenate([v[:40], rng.normal(size=(40, 12))])
+        v_keys = np.sort(rng.integers(0, 5, 700)), rng.permutation(700)
+        q_keys = np.repeat(np.arange(5), 80), np.tile(np.arange(80), 5)
+        score = np.einsum("id,jd->ij", q, v)
+        want = [sorted(np.argsort(-s)[:30].tolist()) for s in score]
+        for floor in (None, np.sort(score, axis=1)[:, -40]):
+            who, what, found = ann.rank_task(v, v_keys, q, q_keys, 30, floor)
+            assert np.allclose(found, score[who, what], rtol=1e-9)
+            for i in range(len(q)):
+                lost = set(want[i]) - set(what[who == i].tolist())
+                assert all(np.isclose(score[i, j], score[i, want[i]].min(), rtol=1e-14, atol=0) for j in lost) and (who == i).sum() == 30
+
+
+def test_the_search_gives_all_that_share_a_bucket_their_rank(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(a) for a in rng.normal(size=16).astype(np.float32)], "x", 1) for i in range(1500)]
+    rows += [(5000 + i, rows[3][1], "x", 1) for i in range(3)] + [rows[8], (8, rows[9][1], "x", 1)]
+    t = ann.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, v int"), "vec_id", "embedding")
+    assert t.count() == 1503 and t.where("id = 8").first().v == min(rows[8][1], rows[9][1])
+    index = ann.fit_index(t.withColumnRenamed("id", "item"), 20)
+    held = sorted(map(tuple, t.collect()))
+    ids, x = np.array([i for i, _ in held]), np.array([v for _, v in held], np.float64)
+    buckets = index.buckets(x)
+    got = {}
+    for r in ann.nearest(t.where("id % 100 = 0"), t, 20, index).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i in np.flatnonzero(ids % 100 == 0):
+        met = ann.first_visit(index.visits(x[i : i + 1])[0], buckets) <= index.probes
+        met[i] = False
+        score = np.where(met, np.einsum("ij,j->i", x, x[i]).round(12), -np.inf)
+        assert got[ids[i]] == ids[np.lexsort((ids, -score))[:20]].tolist()
