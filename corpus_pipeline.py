@@ -24,6 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest doc_id: five-word shingles, similarity 0.8 or more, links chain.
 
+    SimHash fingerprints within four bits meet by Golay-code fuzzy hashing and are verified; prefix filtering adds the similar pairs beyond four bits.
     Null and empty texts are one group; texts under five words are one shingle; texts of any length are whole. Different
     texts of one doc_id are different documents; rows of one id in one group are one. A row with null doc_id stays, once, only where its group has
     no other row. An empty table stays empty. Columns of any name pass through.

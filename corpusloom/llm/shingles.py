@@ -6,6 +6,8 @@ shingles that a sample shows to be frequent last, so that few sets meet; the sam
 decides the cost alone, never the result. A pair that met is first held to counts of its sets'
 shingles by hash cell, which bound what they can share; what is left is verified on the whole
 sets, made from the compressed texts of those documents. Only prefixes and counts are stored of the rest.
+Pairs that a caller's fuzzy hashing of fingerprints (SimHash, see ``simhash``) names are verified first; what they connect
+needs no other proof, and prefix filtering finds the links beyond the reach of fingerprints.
 All keys with one smallest member form a group, one task compares its sets, each pair once, and no pair but a link leaves it.
 """
 
@@ -89,8 +91,8 @@ def cell_counts(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
     return [b"" if f else r.tobytes() for r, f in zip(raw, full)]
 
 
-def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, name, n, cells and prefix (the first shingles in the common order) of every row; a task gives n, cells and prefix of each name once."""
+def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], printed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
+    """doc_id, name, n, cells, prefix (the first shingles in the common order) and fingerprint of every row; a task gives n, cells and prefix of each name once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     a, b = SHARE
 
@@ -119,9 +121,10 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
             place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(ordered[first[row] + place].view(np.int64)))
             cells = pa.array([c if f else None for c, f in zip(cell_counts(doc, h, len(n)), fresh)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(np.where(fresh, n, 0).astype(np.int32)), cells, prefix], ["doc_id", "name", "n", "cells", "prefix"])
+            prints = pa.array(printed(*buffers(batch.column(1))).view(np.int64)) if printed else pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(np.where(fresh, n, 0).astype(np.int32)), cells, prefix, prints], ["doc_id", "name", "n", "cells", "prefix", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, n int, cells binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, n int, cells binary, prefix array<long>, fingerprint long")
 
 
 def _texts_of(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -331,13 +334,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, cells: DataFr
     return both(_texts_of(docs, found, wanted), "text").mapInArrow(_similar, "src long, dst long")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def _fuzzy_pairs(prints: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(src, dst): the names of each fingerprint with its smallest, and the smallest names of fingerprints that ``near`` links; ``prints`` is (name, fingerprint)."""
+    classes = materialize(prints.groupBy("fingerprint").agg(F.min("name").alias("least")), "fingerprint-classes")
+    links = materialize(near(classes), "fingerprint-links")
+    end = lambda column, name: broadcast_if_small(classes.select(F.col("fingerprint").alias(column), F.col("least").alias(name)))
+    across = links.distinct().join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b")
+    within = prints.join(broadcast_if_small(classes), "fingerprint").where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b"))
+    pairs = materialize(across.union(within).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "fingerprint-pairs")
+    free(classes, links)
+    return pairs
+
+
+def near_components(docs: DataFrame, printed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, name, component (names, long) of every row; texts are linked at ``SHARE`` or more and links chain.
 
-    Null and empty texts are one component.
+    Null and empty texts are one component. With ``printed`` (64-bit fingerprints of a block's texts) and ``near`` (src, dst of the fingerprints
+    that are close, given distinct ones) the pairs they name are verified first; the components are the same with and without.
     """
     spark = docs.sparkSession
-    found = materialize(_prefixes(docs, _frequent(docs)), "prefixes")
+    found = materialize(_prefixes(docs, _frequent(docs), printed), "prefixes")
     sets = found.where("n > 0")
     cells = materialize(sets.groupBy("name").agg(F.first("cells").alias("cells")), "cells")
     rows = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
@@ -346,7 +362,17 @@ def near_components(docs: DataFrame) -> DataFrame:
     met = materialize(keys.repartition(parts, "key").mapInArrow(_meet, "key long, name long, n long, before long, leader long"), "shared-keys")
     # first along each key, so that a large group is one component before its pairs are compared
     chain = materialize(met.where("before IS NOT NULL").select(F.least("before", "name").alias("src"), F.greatest("before", "name").alias("dst")).distinct(), "chains")
-    links = materialize(_verified(chain, docs, found, cells), "chain-links")
+    if printed and near:
+        prints = materialize(sets.groupBy("name").agg(F.min("fingerprint").alias("fingerprint")), "fingerprints")
+        close = materialize(_verified(_fuzzy_pairs(prints, near), docs, found, cells), "fuzzy-links")
+        joined = materialize(connected_components(close).withColumnRenamed("node", "name"), "fuzzy-components")
+        side = lambda end: broadcast_if_small(joined.select(F.col("name").alias(end), F.col("component").alias(f"__{end}")))
+        apart = chain.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where(F.coalesce("__src", "src") != F.coalesce("__dst", "dst"))
+        more = materialize(_verified(apart.select("src", "dst"), docs, found, cells), "chain-links")
+        links = materialize(close.unionByName(more), "links")
+        free(prints, close, joined, more)
+    else:
+        links = materialize(_verified(chain, docs, found, cells), "links")
     known = materialize(connected_components(links).withColumnRenamed("node", "name"), "chain-components")
 
     member = met.join(broadcast_if_small(known), "name", "left").select("leader", "key", "name", "n", F.coalesce("component", "name").alias("component"))

@@ -90,3 +90,31 @@ def test_many_words_repeated_rows_and_an_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 7]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fuzzy_hashing_links_near_copies_and_similarity_decides(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for family in range(4):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(800)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    odd = [" ".join(passage * 60 + [f"{c}{i}" for i in range(20)]) for c in "ab"]  # near by bits, not by sets
+    docs = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string")
+    bits = [r.fingerprint for r in simhash.fingerprints(docs, shingles.WIDTH).orderBy("doc_id").collect()]
+    apart = [((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(bits[::2], bits[1::2])]
+    assert max(apart) <= simhash.MAX_BITS
+    assert brute(texts + odd) == [0, 2, 4, 6, 8, 9]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 2, 4, 6, 8, 9]
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    asked = []
+    near_links = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda classes: asked.append(1) or near_links(classes))
+    monkeypatch.setattr(shingles, "_meet", nothing)  # prefix filtering finds no pair
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 2, 4, 6, 8, 9] and asked
+    assert shingles.near_components(docs).select("component").distinct().count() == len(texts + odd)
